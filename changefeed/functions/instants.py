@@ -36,11 +36,13 @@ def looks_like_time(text: Column) -> Column:
 
 def iso_instant(value: Column) -> Column:
     """DATE, TIMESTAMP_NTZ or TIMESTAMP as ISO text; a date is the start of its day."""
-    text = value.cast("timestamp_ntz").cast("string")
-    dot = F.instr(text, ".")
-    digits = F.length(text) - dot
-    padded = F.rpad(text, dot + F.when(digits <= 3, F.lit(3)).otherwise(F.lit(6)), "0")
-    return F.concat(F.translate(F.when(dot == 0, text).otherwise(padded), " ", "T"), F.lit("Z"))
+    at = value.cast("timestamp")
+    micros = F.unix_micros(at)
+    return (
+        F.when(micros % 1_000_000 == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(micros % 1000 == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+        .otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    )
 
 
 def _within(value: Column, limit: int) -> Column:

@@ -154,19 +154,20 @@ def normalize_frame(
 
 
 def _image_decimal(value: Column) -> Column:
-    """A JSON number with a point. Its scale is that of its text, not of a declared column."""
+    """A JSON number that is no plain integer. Its scale is that of its text, not of a declared column.
+
+    Up to 15 characters always fit a double; longer ones are compared digit by digit.
+    """
     digits = value.cast("string")
     double = value.try_cast("double")
     significant = F.length(F.regexp_replace(F.regexp_replace(digits, r"[-.]", ""), r"\A0+", ""))
-    exact = F.coalesce(
-        double.cast("string").try_cast("decimal(38,18)") == digits.try_cast("decimal(38,18)"), F.lit(False)
-    )
-    whole = ~digits.contains(".") & F.coalesce(
-        digits.try_cast("bigint").between(-numbers.MAX_SAFE_INTEGER, numbers.MAX_SAFE_INTEGER), F.lit(False)
-    )
+    exact = double.cast("string").try_cast("decimal(38,18)") == digits.try_cast("decimal(38,18)")
+    whole = digits.try_cast("bigint")
+    has_point, short = digits.contains("."), F.length(digits) <= 15
     return (
-        F.when(whole, digits.try_cast("bigint").cast("variant"))
-        .when((significant <= 15) | exact, double.cast("variant"))
+        F.when(has_point & short, double.cast("variant"))
+        .when(~has_point & whole.between(-numbers.MAX_SAFE_INTEGER, numbers.MAX_SAFE_INTEGER), whole.cast("variant"))
+        .when((significant <= 15) | F.coalesce(exact, F.lit(False)), double.cast("variant"))
         .otherwise(digits.cast("variant"))
     )
 
@@ -182,9 +183,9 @@ def normalize_image(image: Column, epoch_units: Mapping[str, str] | None = None)
         kind = F.schema_of_variant(value)
         as_text = value.try_cast("string")
         parsed = instants.parse_time_string(as_text, spaced=True, any_integer=False)
-        result = F.when(
+        result = F.when(kind.startswith("DECIMAL"), _image_decimal(value)).when(
             (kind == "STRING") & instants.is_time_name(name), F.coalesce(parsed, as_text).cast("variant")
-        ).when(kind.startswith("DECIMAL"), _image_decimal(value))
+        )
         for column, unit in units.items():
             iso = instants.epoch_to_iso(value.try_cast("bigint"), unit)
             result = result.when((kind == "BIGINT") & (name == column), F.coalesce(iso, as_text).cast("variant"))

@@ -79,31 +79,31 @@ def image_fields(image: Column) -> Column:
     return image.try_cast("map<string,variant>")
 
 
-def offset_object(offset: Column) -> Column:
-    """Offset object without its null entries; an empty object when there is none."""
-    entries = F.coalesce(image_fields(offset), F.create_map().cast("map<string,variant>"))
-    return F.map_filter(entries, lambda _, v: ~F.is_variant_null(v))
+# Entries of an offset that order positions. JSON text is not taken for a number here.
+KEY_SCHEMA = (
+    "`timestamp` BIGINT, ts_ms BIGINT, sequence BIGINT, event BIGINT, file STRING, lsn BIGINT, pos BIGINT, scn BIGINT"
+)
+
 
+def offset_entries(offset: Column) -> Column:
+    """Entries of an offset given as JSON text, without null ones; no entries when it is not an object."""
+    entries = F.coalesce(F.from_json(offset, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    return F.map_filter(entries, lambda _, v: v.isNotNull() & ~F.is_variant_null(v))
 
-def offset_number(entries: Column, *names: str) -> Column:
-    """First of the named entries that holds a number, as BIGINT; text is not a number here."""
-    candidates = []
-    for name in names:
-        entry = F.try_element_at(entries, F.lit(name))
-        numeric = F.schema_of_variant(entry).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-        candidates.append(F.when(numeric, entry.try_cast("decimal(38,6)").try_cast("bigint")))
-    return F.coalesce(*candidates)
 
+def offset_keys(offset: Column) -> Column:
+    return F.from_json(offset, KEY_SCHEMA)
 
-def position_struct(partition: Column, entries: Column) -> Column:
+
+def position_struct(partition: Column, entries: Column, keys: Column) -> Column:
     """Position with the keys that order it (see ``positions.sort_key``)."""
     return F.struct(
         F.coalesce(partition, F.lit("unknown")).alias("source_partition"),
         F.to_variant_object(entries).alias("offset"),
-        offset_number(entries, "timestamp", "ts_ms").alias("ts_key"),
-        offset_number(entries, "sequence", "event").alias("seq_key"),
-        F.try_element_at(entries, F.lit("file")).try_cast("string").alias("log_file"),
-        offset_number(entries, "lsn", "pos", "scn").alias("log_key"),
+        F.coalesce(keys["timestamp"], keys["ts_ms"]).alias("ts_key"),
+        F.coalesce(keys["sequence"], keys["event"]).alias("seq_key"),
+        keys["file"].alias("log_file"),
+        F.coalesce(keys["lsn"], keys["pos"], keys["scn"]).alias("log_key"),
     )
 
 
@@ -117,23 +117,23 @@ def metadata_struct(connector: Column, app_name: str, version: str, schema_versi
 
 
 def _parsed(df: DataFrame) -> DataFrame:
-    """Add ``envelope``, ``_partition`` and ``_entries`` (offset entries), each parsed once."""
+    """Add ``envelope``, ``_partition``, ``_offset`` (JSON text), ``_entries`` and ``_keys``, each computed once."""
     if "source_offset" in df.columns:
-        entries = offset_object(F.try_parse_json("source_offset"))
-        parts = F.struct(_envelope("value").alias("envelope"), entries.alias("entries"))
-        parsed = df.select("*", F.explode(F.array(parts)).alias("_parts")).select(
-            *df.columns, F.col("_parts.envelope").alias("envelope"), F.col("_parts.entries").alias("_entries")
-        )
+        parsed, offset = parse_envelopes(df), F.col("source_offset")
     else:
-        source = F.col("envelope.source")
-        numbers = [source[n].alias(n) for n in ("lsn", "txId", "sequence", "file", "pos", "scn", "ts_ms")]
-        offset = F.try_parse_json(F.to_json(F.struct(*numbers)))
-        parsed = parse_envelopes(df).select("*", F.explode(F.array(offset_object(offset))).alias("_entries"))
+        parsed, source = parse_envelopes(df), F.col("envelope.source")
+        offset = F.to_json(F.struct(*[source[n].alias(n) for n in ("lsn", "txId", "sequence", "file", "pos", "scn", "ts_ms")]))
     if "source_partition" in df.columns:
         partition = F.col("source_partition")
     else:
         partition = F.concat(F.lit("{server="), F.col("envelope.source.name"), F.lit("}"))
-    return parsed.withColumn("_partition", partition)
+    parts = F.struct(
+        partition.alias("partition"),
+        offset.alias("offset"),
+        offset_entries(offset).alias("entries"),
+        offset_keys(offset).alias("keys"),
+    )
+    return parsed.select("*", F.explode(F.array(parts)).alias("_at"))
 
 
 def to_canonical(
@@ -150,7 +150,7 @@ def to_canonical(
     """
     parsed = _parsed(df)
     envelope, source = F.col("envelope"), F.col("envelope.source")
-    entries = F.col("_entries")
+    at = F.col("_at")
     staged = parsed.select(
         *df.columns,
         "envelope",
@@ -160,8 +160,9 @@ def to_canonical(
         qualified_name(source["db"], source["schema"], source["table"]).alias("fqn"),
         decode_operation(envelope["op"]).alias("operation"),
         event_time(envelope["ts_ms"], source["ts_ms"] if mode == "typed" else None).alias("timestamp"),
-        position_struct(F.col("_partition"), entries).alias("position"),
-        F.size(entries).alias("_offset_size"),
+        position_struct(at["partition"], at["entries"], at["keys"]).alias("position"),
+        at["offset"].alias("_offset"),
+        F.size(at["entries"]).alias("_offset_size"),
         row_image(envelope["before"]).alias("before"),
         row_image(envelope["after"]).alias("after"),
         metadata_struct(source["connector"], app_name, version).alias("metadata"),
@@ -174,7 +175,7 @@ def to_canonical(
         F.concat_ws(
             "|",
             F.col("position.source_partition"),
-            F.to_json(F.col("position.offset")),
+            F.col("_offset"),
             F.col("fqn"),
             F.col("operation"),
             raw,

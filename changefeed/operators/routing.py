@@ -11,13 +11,16 @@ MAX_TOPIC_LENGTH = 249
 TOPIC_PATTERN = r"\A[a-zA-Z0-9._-]+\z"
 
 
+# a part that sanitizing leaves as it is
+_CLEAN_PART = r"\A(?!_)(?!.*__)[a-zA-Z0-9._-]+(?<!_)\z"
+
+
 def sanitize_topic_part(part: Column) -> Column:
     """Invalid characters become ``_``; then edge underscores go, and runs of them shrink to one."""
     replaced = F.regexp_replace(part, r"[^a-zA-Z0-9._-]", "_")
     trimmed = F.regexp_replace(replaced, r"\A_+|_+\z", "")
     collapsed = F.regexp_replace(trimmed, r"_+", "_")
-    blank = part.isNull() | part.rlike(r"\A\s*\z")
-    return F.when(blank | (collapsed == ""), F.lit("unknown")).otherwise(collapsed)
+    return F.when(part.rlike(_CLEAN_PART), part).otherwise(F.coalesce(F.nullif(collapsed, F.lit("")), F.lit("unknown")))
 
 
 def topic_name(table: Column, pattern: Column | None = None, default: str = DEFAULT_PATTERN) -> Column:
@@ -58,8 +61,12 @@ def message_key(table: Column) -> Column:
 
 
 def route(events: DataFrame, default: str = DEFAULT_PATTERN) -> DataFrame:
-    """Add ``topic``, ``topic_problem`` and ``key``; uses ``topic_pattern`` where rules were joined."""
+    """Add ``topic``, ``topic_problem`` and ``key``; uses ``topic_pattern`` where rules were joined.
+
+    The topic comes out of a generator, so that a filter on it does not compute it again.
+    """
     pattern = F.col("topic_pattern") if "topic_pattern" in events.columns else None
-    return events.withColumn("topic", topic_name(F.col("table"), pattern, default)).withColumns(
+    topics = F.array(topic_name(F.col("table"), pattern, default))
+    return events.select("*", F.explode(topics).alias("topic")).withColumns(
         {"topic_problem": topic_problem(F.col("topic")), "key": message_key(F.col("table"))}
     )

@@ -93,12 +93,9 @@ def snapshot_changes(
     """
     marked = rows.select("*", at_ms.cast("bigint").alias("_at_ms"), F.array(*[F.col(k).cast("string") for k in key]).alias("_key"))
     packed = normalize_frame(marked, mode, epoch_units, keep=("_at_ms", "_key"))
-    entries = F.to_variant_object(
-        F.struct(
-            F.lit(True).alias("snapshot"),
-            F.col("_at_ms").alias("timestamp"),
-            F.to_json("_key").alias("key"),
-        )
+    at = F.col("_at_ms")
+    offset = F.to_variant_object(
+        F.struct(F.lit(True).alias("snapshot"), at.alias("timestamp"), F.to_json("_key").alias("key"))
     )
     table_struct = F.struct(
         F.lit(database).alias("database"), F.lit(schema).cast("string").alias("schema"), F.lit(table).alias("table")
@@ -107,7 +104,14 @@ def snapshot_changes(
     staged = packed.select(
         table_struct.alias("table"),
         F.timestamp_millis("_at_ms").alias("timestamp"),
-        envelope.position_struct(partition, envelope.offset_object(entries)).alias("position"),
+        F.struct(
+            partition.alias("source_partition"),
+            offset.alias("offset"),
+            at.alias("ts_key"),
+            F.lit(None).cast("bigint").alias("seq_key"),
+            F.lit(None).cast("string").alias("log_file"),
+            F.lit(None).cast("bigint").alias("log_key"),
+        ).alias("position"),
         F.to_variant_object(F.struct(*rows.columns)).alias("after"),
     )
     fqn = ".".join(p for p in (database, schema, table) if p and p.strip())
