@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from changefeed.operators.positions import sort_key
 from changefeed.operators.skew import exact_percentiles
 from changefeed.operators.validate import TOMBSTONE
+from changefeed.session import written
 
 DEFAULT_PERIOD_MINUTES = 60
 MAX_PERIOD_MINUTES = 1440
@@ -27,19 +28,28 @@ def latency_ms(timestamp: Column | str = "timestamp", source_ts: Column | str =
 def capture_metrics(canonical: DataFrame) -> DataFrame:
     """One row: captured, published, failed, exact latency percentiles, period start and end.
 
-    ``canonical`` is the output of ``to_canonical``; tombstones are not counted.
+    ``canonical`` is the output of ``to_canonical``; tombstones are not counted. Runs the decoding at once
+    and stores its histogram of latencies in the work folder.
     """
     published = F.col("reject_reason").isNull()
-    records = canonical.where(~F.col("reject_reason").eqNullSafe(TOMBSTONE))
-    counts = records.agg(
-        F.count("*").alias("captured"),
-        F.count_if(published).alias("published"),
-        F.count_if(~published).alias("failed"),
-        F.min(F.when(published, F.col("timestamp"))).alias("period_start"),
-        F.max(F.when(published, F.col("timestamp"))).alias("period_end"),
+    by_latency = (
+        canonical.where(~F.col("reject_reason").eqNullSafe(TOMBSTONE))
+        .withColumn("published", published)
+        .groupBy(F.when(published, latency_ms()).alias("latency"), "published")
+        .agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    )
+    # the feed is decoded once: everything below reads one row per distinct latency
+    by_latency = written(by_latency, "latencies")
+    ok = F.col("published")
+    counts = by_latency.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("captured"),
+        F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0)).alias("published"),
+        F.coalesce(F.sum(F.when(~ok, F.col("n"))), F.lit(0)).alias("failed"),
+        F.min(F.when(ok, F.col("first"))).alias("period_start"),
+        F.max(F.when(ok, F.col("last"))).alias("period_end"),
     )
-    latencies = records.where(published).select(latency_ms().alias("latency"))
-    points = exact_percentiles(latencies, "latency", tuple(LATENCY_POINTS.values()), tuple(LATENCY_POINTS))
+    latencies = by_latency.where(ok)
+    points = exact_percentiles(latencies, "latency", "n", tuple(LATENCY_POINTS.values()), tuple(LATENCY_POINTS))
     # both sides are one row
     return counts.withColumn("_one", F.lit(1)).join(points.withColumn("_one", F.lit(1)), "_one").drop("_one")
 

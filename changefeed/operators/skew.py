@@ -91,18 +91,15 @@ def running_number(
 
 
 def exact_percentiles(
-    df: DataFrame, value: str, points: Sequence[float], names: Sequence[str], width: int = 1 << 16
+    counts: DataFrame, value: str, n: str, points: Sequence[float], names: Sequence[str], width: int = 1 << 16
 ) -> DataFrame:
     """One row with the exact, linearly interpolated percentiles of an integer column.
 
-    Equal values collapse into counts before any shuffle, then ranges of values are numbered, so no
+    ``counts`` has one row per distinct value and how often it occurs. Ranges of values are numbered, so no
     task sees all values (``percentile`` keeps every distinct value in one task).
     """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(F.col(value).cast("bigint").alias("_value"))
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_range", _range_of("_value", width))
+    counts = counts.where(F.col(value).isNotNull()).select(
+        F.col(value).cast("bigint").alias("_value"), F.col(n).alias("_n"), _range_of(value, width).alias("_range")
     )
     totals = counts.groupBy("_range").agg(F.sum("_n").alias("_total"))
     # one row per range: at most (max - min) / width rows

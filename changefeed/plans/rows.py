@@ -38,14 +38,20 @@ def position_order(spark, sf_dir):
     )
 
 
+def saved_at_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions as a run that stopped at the cut has stored them."""
+    out = work_dir(spark, "positions")
+    sinks.save_positions(events(spark, sf_dir).where(before_cut()), out, 0)
+    return sinks.load_positions(spark, out)
+
+
 SAVED_SQL = f"""p AS (SELECT source_partition, max(ts_ms) AS saved_ts FROM f WHERE ts_ms < {CUT_MS} GROUP BY source_partition)"""
 
 
 @query("position_compare", FEED_SQL + f""", {SAVED_SQL} SELECT lsn, CASE WHEN ts_ms < saved_ts THEN -1 WHEN ts_ms > saved_ts THEN 1
     ELSE 0 END AS sign, ts_ms > saved_ts AS is_after, ts_ms < saved_ts AS is_before FROM f JOIN p USING (source_partition)""")
 def position_compare(spark, sf_dir):
-    feed = events(spark, sf_dir)
-    joined = positions.with_saved_position(feed, positions.latest_positions(feed.where(before_cut())))
+    joined = positions.with_saved_position(events(spark, sf_dir), saved_at_cut(spark, sf_dir))
     at, saved = F.col("position"), F.col("saved")
     return joined.select(
         lsn(), positions.compare(at, saved).alias("sign"), positions.is_after(at, saved).alias("is_after"),
@@ -67,9 +73,7 @@ def positions_latest(spark, sf_dir):
 @query("resume_after", FEED_SQL + f""", {SAVED_SQL} SELECT lsn, operation FROM f JOIN p USING (source_partition)
     WHERE ts_ms > saved_ts""")
 def resume_after(spark, sf_dir):
-    feed = events(spark, sf_dir)
-    saved = positions.latest_positions(feed.where(before_cut()))
-    return positions.resume_after(feed, saved).select(lsn(), "operation")
+    return positions.resume_after(events(spark, sf_dir), saved_at_cut(spark, sf_dir)).select(lsn(), "operation")
 
 
 @query("ordered_per_table", FEED_SQL + """SELECT fqn, lsn, row_number() OVER (PARTITION BY fqn ORDER BY ts_ms, lsn) AS delivery_no
