@@ -14,12 +14,9 @@ TIME_NAME_PATTERN = r"time|date|timestamp|_at\z|_on\z|\A(created|updated|modifie
 
 EPOCH_UNITS = ("s", "ms", "us", "ns", "days")
 
-# date, T, hour and minute, seconds, fraction, zone
-_ISO_TEXT = (
-    r"\A(\d{4}-\d{2}-\d{2})[Tt](\d{2}:\d{2})(?::(\d{2})(?:\.(\d{0,9}))?)?"
-    r"([Zz]|[+-]\d{2}:\d{2}(?::\d{2})?)?\z"
-)
-_SPACED_TEXT = r"\A(\d{4}-\d{2}-\d{2}) (\d{2}:\d{2}):(\d{2})(?:\.(\d{0,9}))?()\z"
+# An instant has seconds and a zone; a local date-time may lack both. The second form is set with a space.
+_ISO_FORM = r"\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?([Zz]|[+-]\d{2}:\d{2}(:\d{2})?)?)?"
+_SPACED_FORM = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,9})?"
 
 
 def is_time_name(name: Column) -> Column:
@@ -39,7 +36,8 @@ def iso_instant(value: Column) -> Column:
     at = value.cast("timestamp")
     micros = F.unix_micros(at)
     return (
-        F.when(micros % 1_000_000 == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        F.when(at.isNull(), F.lit(None).cast("string"))
+        .when(micros % 1_000_000 == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
         .when(micros % 1000 == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
         .otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
     )
@@ -79,25 +77,15 @@ def _with_fraction(whole_seconds: Column, nine_digits: Column) -> Column:
     return F.concat(base, fraction, F.lit("Z"))
 
 
-def _parse_fields(text: Column, pattern: str) -> Column:
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, pattern, i)
-
-    zone = part(5)
-    seconds = F.when(part(3) == "", F.lit("00")).otherwise(part(3))
-    local = F.concat(part(1), F.lit(" "), part(2), F.lit(":"), seconds).try_cast("timestamp_ntz")
-
-    def zone_part(i: int) -> Column:
-        return F.coalesce(F.try_element_at(F.split(F.substring(zone, 2, 8), ":"), F.lit(i)).try_cast("int"), F.lit(0))
-
-    hours, minutes, secs = zone_part(1), zone_part(2), zone_part(3)
-    offset = hours * 3600 + minutes * 60 + secs
-    signed = F.when(zone.startswith("-"), -offset).otherwise(offset)
-    in_range = (minutes < 60) & (secs < 60) & (offset <= 18 * 3600)
-    utc = F.timestamp_seconds(F.unix_timestamp(local.cast("timestamp")) - signed)
-    # a zoned instant needs its seconds; a local one does not
-    complete = (zone == "") | ((part(3) != "") & in_range)
-    return F.when(text.rlike(pattern) & complete, _with_fraction(utc, F.rpad(part(4), 9, "0")))
+def _parse_written(text: Column, forms: str) -> Column:
+    """Text of one of ``forms`` as ISO text in UTC; the digits below a microsecond are kept."""
+    at = F.upper(text).try_cast("timestamp")
+    nanos = F.rpad(F.regexp_extract(text, r"\.(\d{7,9})", 1), 9, "0")
+    precise = _with_fraction(F.date_trunc("second", at), nanos)
+    return F.when(
+        text.rlike(rf"\A(?:{forms})\z"),
+        F.when(text.rlike(r"\.\d{7}") & at.isNotNull(), precise).otherwise(iso_instant(at)),
+    )
 
 
 def parse_time_string(text: Column, spaced: bool = False, any_integer: bool = True) -> Column:
@@ -107,8 +95,5 @@ def parse_time_string(text: Column, spaced: bool = False, any_integer: bool = Tr
     with 10 to 13 digits.
     """
     whole = r"\A[+-]?\d{1,19}\z" if any_integer else r"\A\d{10,13}\z"
-    parsed = [_parse_fields(text, _ISO_TEXT)]
-    if spaced:
-        parsed.append(_parse_fields(text, _SPACED_TEXT))
-    parsed.append(F.when(text.rlike(whole), epoch_to_iso(text.try_cast("bigint"))))
-    return F.coalesce(*parsed)
+    epoch = F.when(text.rlike(whole), epoch_to_iso(text.try_cast("bigint")))
+    return F.coalesce(_parse_written(text, f"{_ISO_FORM}|{_SPACED_FORM}" if spaced else _ISO_FORM), epoch)

@@ -16,28 +16,34 @@ def looks_like_number(text: Column) -> Column:
     return text.rlike(NUMBER_PATTERN)
 
 
-def _is_safe_integer(value: Column) -> Column:
-    return (value % 1 == 0) & value.between(-MAX_SAFE_INTEGER, MAX_SAFE_INTEGER)
+def _as_long(value: Column) -> Column:
+    """The value if it is whole and safe, else NULL."""
+    whole = value.try_cast("bigint")
+    return F.when(whole.between(-MAX_SAFE_INTEGER, MAX_SAFE_INTEGER) & (whole == value), whole)
+
+
+def _as_double(value: Column, scale: int) -> Column:
+    """The value as a double if its shortest text is the value, else NULL. Up to 15 digits it always is."""
+    double = value.cast("double")
+    always = F.lit(False) if scale > 15 else F.abs(value) < F.lit(10 ** (15 - scale))
+    shortest = double.cast("string").try_cast(f"decimal(38,{scale})")
+    return F.when(always, double).when(shortest == value, double)
 
 
 def decimal_kind(value: Column, scale: int) -> Column:
     """'long', 'double' or 'string' for DECIMAL(p, ``scale``)."""
-    shortest = value.cast("double").cast("string").try_cast(f"decimal(38,{scale})")
     return (
         F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(_is_safe_integer(value), F.lit("long"))
-        .when(shortest == value, F.lit("double"))
+        .when(_as_long(value).isNotNull(), F.lit("long"))
+        .when(_as_double(value, scale).isNotNull(), F.lit("double"))
         .otherwise(F.lit("string"))
     )
 
 
 def normalize_decimal(value: Column, scale: int) -> Column:
     """DECIMAL as VARIANT: BIGINT, DOUBLE or the plain digits as STRING."""
-    kind = decimal_kind(value, scale)
-    return (
-        F.when(kind == "long", value.try_cast("bigint").cast("variant"))
-        .when(kind == "double", value.cast("double").cast("variant"))
-        .when(kind == "string", value.cast("string").cast("variant"))
+    return F.coalesce(
+        _as_long(value).cast("variant"), _as_double(value, scale).cast("variant"), value.cast("string").cast("variant")
     )
 
 

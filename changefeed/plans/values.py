@@ -59,14 +59,15 @@ _PARSED_SQL = f"""CASE event_id % 8
     WHEN 6 THEN {iso_us_sql('ts')} END"""
 
 
-def _written_times(spark, sf_dir):
+def _written():
+    """The event's time in its way of writing."""
     at = F.col("ts").cast("timestamp")
 
     def fmt(pattern, when=at):
         return F.date_format(when, pattern)
 
     way = F.col("event_id") % 8
-    written = (
+    return (
         F.when(way == 0, fmt("yyyy-MM-dd'T'HH:mm:ss'Z'"))
         .when(way == 1, fmt("yyyy-MM-dd'T'HH:mm:ss'+02:00'", at + F.expr("INTERVAL 2 HOURS")))
         .when(way == 2, fmt("yyyy-MM-dd'T'HH:mm"))
@@ -76,14 +77,13 @@ def _written_times(spark, sf_dir):
         .when(way == 6, fmt("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
         .otherwise(F.col("event_type"))
     )
-    return table(spark, sf_dir, "events").select("event_id", written.alias("written"))
 
 
 @query("parse_time_strings", f"""SELECT event_id, {_WAYS_SQL} AS written, coalesce({_PARSED_SQL}, {_WAYS_SQL}) AS older,
     CASE event_id % 8 WHEN 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') ELSE coalesce({_PARSED_SQL}, {_WAYS_SQL}) END AS typed FROM events""")
 def parse_time_strings(spark, sf_dir):
     written = F.col("written")
-    return _written_times(spark, sf_dir).select(
+    return table(spark, sf_dir, "events").withColumn("written", _written()).select(
         "event_id", "written",
         F.coalesce(instants.parse_time_string(written), written).alias("older"),
         F.coalesce(instants.parse_time_string(written, spaced=True, any_integer=False), written).alias("typed"),
@@ -157,11 +157,16 @@ def normalize_decimals(spark, sf_dir):
         F.floor("o_totalprice").cast("decimal(18,2)").alias("whole"),
         F.concat(F.col("o_orderkey").cast("string"), F.lit(".123456789012345678")).cast("decimal(38,18)").alias("exact"),
     )
-    columns = []
-    for name, scale in (("total", 2), ("whole", 2), ("exact", 18)):
-        value = F.col(name)
-        columns += _kind_columns(numbers.decimal_kind(value, scale), numbers.normalize_decimal(value, scale), name)
-    return rows.select("order_key", *columns)
+    scales = {"total": 2, "whole": 2, "exact": 18}
+    # the shown columns use each result several times: compute it once, in a generator
+    results = F.struct(
+        *[numbers.decimal_kind(F.col(name), scale).alias(f"{name}_k") for name, scale in scales.items()],
+        *[numbers.normalize_decimal(F.col(name), scale).alias(name) for name, scale in scales.items()],
+    )
+    done = rows.select("order_key", F.explode(F.array(results)).alias("r"))
+    return done.select(
+        "order_key", *[c for n in scales for c in _kind_columns(F.col(f"r.{n}_k"), F.col(f"r.{n}"), n)]
+    )
 
 
 @query("normalize_bigints", """SELECT order_key, CASE WHEN abs(big) <= 9007199254740991 THEN 'long' ELSE 'string' END AS big_kind,
@@ -249,8 +254,7 @@ def decode_bytes(spark, sf_dir):
 def _typed_row(spark, sf_dir):
     """A row with a column of each type, from ``events``."""
     at = F.col("ts").cast("timestamp")
-    rows = _written_times(spark, sf_dir).join(table(spark, sf_dir, "events"), "event_id")
-    return rows.select(
+    return table(spark, sf_dir, "events").withColumn("written", _written()).select(
         "event_id",
         F.col("ts").alias("seen"),
         at.cast("date").alias("day"),
