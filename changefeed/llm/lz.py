@@ -119,7 +119,7 @@ def beside_next(docs: DataFrame, partitions: int) -> DataFrame:
     keyed = docs.select("doc_id", "text").withColumn("_key", F.coalesce("doc_id", F.lit(LEAST)).cast("double"))
     at = [(i + 1) / partitions for i in range(partitions - 1)]
     cuts = keyed.agg(F.percentile_approx("_key", at or [0.5], 10 * partitions)).first()[0] or []
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    splits = [-float("inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     keyed = Bucketizer(splits=splits, inputCol="_key", outputCol="_group").transform(keyed)
     keyed = keyed.withColumn("_group", F.col("_group").cast("int"))
     order = F.coalesce("doc_id", F.lit(LEAST))
