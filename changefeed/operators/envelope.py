@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from changefeed.operators import validate
 
 SOURCE_SCHEMA = (
+    # places in the log are numbers for some sources and text for others: none makes a record malformed
     "STRUCT<version: STRING, connector: STRING, name: STRING, ts_ms: BIGINT, db: STRING, `schema`: STRING, "
-    "`table`: STRING, lsn: BIGINT, txId: BIGINT, sequence: STRING, file: STRING, pos: BIGINT, scn: BIGINT>"
+    "`table`: STRING, lsn: STRING, txId: STRING, sequence: STRING, file: STRING, pos: STRING, `row`: STRING, "
+    "server_id: STRING, gtid: STRING, scn: STRING, commit_scn: STRING, change_lsn: STRING, commit_lsn: STRING, "
+    "event_serial_no: STRING>"
 )
 ENVELOPE_SCHEMA = (
     f"before VARIANT, after VARIANT, source {SOURCE_SCHEMA}, op STRING, ts_ms BIGINT, _malformed STRING"
@@ -57,8 +60,36 @@ def decode_operation(op: Column) -> Column:
 def event_time(ts_ms: Column, source_ts_ms: Column | None = None) -> Column:
     """Envelope time, else source time, else now. Pass no source time for the older behaviour."""
     millis = ts_ms if source_ts_ms is None else F.coalesce(ts_ms, source_ts_ms)
-    in_range = F.when(millis.between(-9223372036854775, 9223372036854775), millis)
-    return F.coalesce(F.timestamp_millis(in_range), F.current_timestamp())
+    return F.coalesce(instant(millis), F.current_timestamp())
+
+
+def in_range(millis: Column) -> Column:
+    """Whether a time in milliseconds can be a timestamp; a NULL can."""
+    return F.coalesce(millis.between(-9223372036854775, 9223372036854775), F.lit(True))
+
+
+def instant(millis: Column) -> Column:
+    """Timestamp of a time in milliseconds; NULL beyond the range of timestamps."""
+    return F.timestamp_millis(F.when(in_range(millis), millis))
+
+
+# entries of the source block that tell where in the log a change is: numbers where they are whole numbers, else text
+PLACE_NUMBERS = ("lsn", "txId", "pos", "row", "server_id", "scn", "commit_scn", "event_serial_no", "ts_ms")
+PLACE_TEXTS = ("sequence", "file", "gtid", "change_lsn", "commit_lsn")
+
+
+def log_number(text: Column) -> Column:
+    """A log place as a number: decimal digits, or two hexadecimal halves as in 0/16B3748."""
+    halves = F.split(text, "/")
+    joined = F.lpad(F.get(halves, F.lit(0)), 8, "0"), F.lpad(F.get(halves, F.lit(1)), 8, "0")
+    hexadecimal = F.when(text.rlike(r"\A[0-9A-Fa-f]{1,8}/[0-9A-Fa-f]{1,8}\z"), F.conv(F.concat(*joined), 16, 10))
+    return F.coalesce(text.try_cast("bigint"), hexadecimal.try_cast("bigint"))
+
+
+def source_place(source: Column) -> Column:
+    """Offset, as JSON text, of an envelope that comes without one: all that its source block says about the place."""
+    numbers = [log_number(source[n].cast("string")).alias(n) for n in PLACE_NUMBERS]
+    return F.to_json(F.struct(*numbers, *[source[n].alias(n) for n in PLACE_TEXTS]))
 
 
 def qualified_name(database: Column, schema: Column, table: Column) -> Column:
@@ -81,7 +112,8 @@ def image_fields(image: Column) -> Column:
 
 # Entries of an offset that order positions. JSON text is not taken for a number here.
 KEY_SCHEMA = (
-    "`timestamp` BIGINT, ts_ms BIGINT, sequence BIGINT, event BIGINT, file STRING, lsn BIGINT, pos BIGINT, scn BIGINT"
+    "`timestamp` BIGINT, ts_ms BIGINT, sequence BIGINT, event BIGINT, file STRING, lsn BIGINT, pos BIGINT, scn BIGINT, "
+    "change_lsn STRING, commit_lsn STRING, event_serial_no BIGINT"
 )
 
 
@@ -102,8 +134,9 @@ def position_struct(partition: Column, entries: Column, keys: Column) -> Column:
         F.to_variant_object(entries).alias("offset"),
         F.coalesce(keys["timestamp"], keys["ts_ms"]).alias("ts_key"),
         F.coalesce(keys["sequence"], keys["event"]).alias("seq_key"),
-        keys["file"].alias("log_file"),
-        F.coalesce(keys["lsn"], keys["pos"], keys["scn"]).alias("log_key"),
+        # places written as text of one length order as text
+        F.coalesce(keys["file"], F.nullif(F.concat_ws("/", keys["commit_lsn"], keys["change_lsn"]), F.lit(""))).alias("log_file"),
+        F.coalesce(keys["lsn"], keys["pos"], keys["scn"], keys["event_serial_no"]).alias("log_key"),
     )
 
 
@@ -121,8 +154,8 @@ def _parsed(df: DataFrame) -> DataFrame:
     if "source_offset" in df.columns:
         parsed, offset = parse_envelopes(df), F.col("source_offset")
     else:
-        parsed, source = parse_envelopes(df), F.col("envelope.source")
-        offset = F.to_json(F.struct(*[source[n].alias(n) for n in ("lsn", "txId", "sequence", "file", "pos", "scn", "ts_ms")]))
+        parsed = parse_envelopes(df)
+        offset = source_place(F.col("envelope.source"))
     if "source_partition" in df.columns:
         partition = F.col("source_partition")
     else:
@@ -148,6 +181,8 @@ def to_canonical(
     One projection over one parse, no shuffle. The input columns are kept, so a rejected record can be
     stored as it came. See ``accepted`` and ``rejected``.
     """
+    if mode not in ("typed", "compat"):
+        raise ValueError(f"mode is typed or compat, not {mode!r}")
     parsed = _parsed(df)
     envelope, source = F.col("envelope"), F.col("envelope.source")
     at = F.col("_at")
@@ -159,18 +194,25 @@ def to_canonical(
         ).alias("table"),
         qualified_name(source["db"], source["schema"], source["table"]).alias("fqn"),
         decode_operation(envelope["op"]).alias("operation"),
-        event_time(envelope["ts_ms"], source["ts_ms"] if mode == "typed" else None).alias("timestamp"),
+        # a record that is no envelope, or that has an impossible time, has no time of its own
+        F.when(
+            envelope.isNotNull() & envelope["_malformed"].isNull() & in_range(envelope["ts_ms"]) & in_range(source["ts_ms"]),
+            event_time(envelope["ts_ms"], source["ts_ms"] if mode == "typed" else None),
+        ).alias("timestamp"),
         position_struct(at["partition"], at["entries"], at["keys"]).alias("position"),
         at["offset"].alias("_offset"),
         F.size(at["entries"]).alias("_offset_size"),
         row_image(envelope["before"]).alias("before"),
         row_image(envelope["after"]).alias("after"),
         metadata_struct(source["connector"], app_name, version).alias("metadata"),
-        F.timestamp_millis(source["ts_ms"]).alias("source_ts"),
+        instant(source["ts_ms"]).alias("source_ts"),
     )
     judged = staged.withColumn("reject_reason", validate.reject_reason(check_identifiers))
     # a rejected record may lack a position or a name: its own text then tells it from others
-    raw = F.when(F.col("reject_reason").isNotNull(), F.col("value"))
+    # so does an event whose place is taken from its source block, which need not be unique
+    raw = F.col("value")
+    if "source_offset" in df.columns:
+        raw = F.when(F.col("reject_reason").isNotNull(), raw)
     event_id = F.sha2(
         F.concat_ws(
             "|",

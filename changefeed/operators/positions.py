@@ -27,8 +27,14 @@ def in_position_order(events: DataFrame) -> DataFrame:
     return events.orderBy(*order_columns())
 
 
-def compare(left: Column, right: Column) -> Column:
-    """-1, 0 or 1. By source partition, else by time if both have one, else by sequence, else equal."""
+def compare(left: Column, right: Column, mode: str = "typed") -> Column:
+    """-1, 0 or 1, first by source partition.
+
+    ``typed``: by the first of time, sequence, log file and log number that both have and that differs, the order of ``sort_key``.
+    ``compat``: by time alone if both have one, else by sequence.
+    """
+    if mode not in ("typed", "compat"):
+        raise ValueError(f"mode is typed or compat, not {mode!r}")
 
     def three_way(a: Column, b: Column) -> Column:
         return F.when(a < b, F.lit(-1)).when(a > b, F.lit(1)).otherwise(F.lit(0))
@@ -36,6 +42,11 @@ def compare(left: Column, right: Column) -> Column:
     def both(key: str) -> Column:
         return left[key].isNotNull() & right[key].isNotNull()
 
+    if mode == "typed":
+        order = F.when(left["source_partition"] != right["source_partition"], three_way(left["source_partition"], right["source_partition"]))
+        for key in ("ts_key", "seq_key", "log_file", "log_key"):
+            order = order.when(both(key) & (left[key] != right[key]), three_way(left[key], right[key]))
+        return order.otherwise(F.lit(0))
     return (
         F.when(
             left["source_partition"] != right["source_partition"],

@@ -64,8 +64,10 @@ def include_tables(events: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def join_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
-    """Events of the listed tables with their rule's columns."""
-    return events.join(broadcast_if_small(rules), "fqn", "inner")
+    """Events of the listed tables with their rule's columns. Of several rules for one table one is taken, the same in every run."""
+    columns = [c for c in rules.columns if c != "fqn"]
+    single = rules.groupBy("fqn").agg(F.min(F.struct(*columns)).alias("_rule")).select("fqn", *[F.col(f"_rule.{c}") for c in columns]) if columns else rules.distinct()
+    return events.join(broadcast_if_small(single), "fqn", "inner")
 
 
 def _without(image: Column, mode: Column, column_filter: Column) -> Column:

@@ -84,7 +84,8 @@ def running_number(
         *[F.col(k).alias(k + "_o") for k in keys], F.col("_range").alias("_range_o"), "_offset"
     )
     inner = ranged.withColumn("_number", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
-    condition = _match(inner, offsets, keys, "_o") & (inner["_range"] == offsets["_range_o"])
+    # null-safe: rows without an order value are a range of their own, the first
+    condition = _match(inner, offsets, keys, "_o") & inner["_range"].eqNullSafe(offsets["_range_o"])
     return inner.join(offsets, condition).select(
         *df.columns, (F.col("_number") + F.col("_offset")).cast("bigint").alias(name)
     )

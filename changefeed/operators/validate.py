@@ -21,6 +21,7 @@ INTEGRITY_REASONS = (
 REQUIRED_REASONS = (
     "MALFORMED",
     "MISSING_SOURCE",
+    "TIME_OUT_OF_RANGE",
     "BLANK_DATABASE",
     "BLANK_TABLE",
     "INVALID_IDENTIFIER",
@@ -69,6 +70,8 @@ def reject_reason(check_identifiers: bool = False) -> Column:
         F.when(envelope.isNull(), F.lit(TOMBSTONE))
         .when(malformed, F.lit("MALFORMED"))
         .when(envelope["source"].isNull(), F.lit("MISSING_SOURCE"))
+        # the only envelopes without a time
+        .when(F.col("timestamp").isNull(), F.lit("TIME_OUT_OF_RANGE"))
         .when(_blank(F.col("table.database")), F.lit("BLANK_DATABASE"))
         .when(_blank(F.col("table.table")), F.lit("BLANK_TABLE"))
         .when(bad_name, F.lit("INVALID_IDENTIFIER"))

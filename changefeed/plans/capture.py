@@ -64,7 +64,7 @@ def envelope_scan(spark, sf_dir):
     parsed = envelope.parse_envelopes(envelope.drop_tombstones(change_feed(spark, sf_dir)))
     e = F.col("envelope")
     return parsed.select(
-        e["source"]["lsn"].alias("lsn"), e["source"]["db"].alias("db"), e["source"]["table"].alias("table_name"),
+        envelope.log_number(e["source"]["lsn"]).alias("lsn"), e["source"]["db"].alias("db"), e["source"]["table"].alias("table_name"),
         e["op"].alias("op"), e["ts_ms"].alias("ts_ms"), e["source"]["ts_ms"].alias("source_ts_ms"),
     )
 
@@ -160,7 +160,7 @@ def rejected_rows(spark, sf_dir):
 def op_decode(spark, sf_dir):
     parsed = envelope.parse_envelopes(envelope.drop_tombstones(change_feed(spark, sf_dir)))
     return parsed.select(
-        F.col("envelope.source.lsn").alias("lsn"), envelope.decode_operation(F.col("envelope.op")).alias("operation")
+        envelope.log_number(F.col("envelope.source.lsn")).alias("lsn"), envelope.decode_operation(F.col("envelope.op")).alias("operation")
     )
 
 

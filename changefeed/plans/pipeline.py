@@ -47,10 +47,13 @@ def run(canonical: DataFrame, rule_table: DataFrame | None = None, **options) ->
     An event whose topic name is not valid is rejected as ``INVALID_TOPIC``.
     """
     events = envelope.accepted(canonical)
-    routed = select_and_route(events, rule_table, **options)
+    # the record as it came goes with its event, for the case that it cannot be routed
+    given = [c for c in canonical.columns if c not in (*envelope.CANONICAL_COLUMNS, "reject_reason")]
+    sound = canonical.where(F.col("reject_reason").isNull()).select(*envelope.CANONICAL_COLUMNS, F.struct(*given).alias("_given"))
+    routed = select_and_route(sound, rule_table, **options)
     messages = wire.to_messages(routed.where(F.col("topic_problem").isNull()))
     unroutable = routed.where(F.col("topic_problem").isNotNull()).select(
-        wire.to_wire_json().alias("value"), F.lit("INVALID_TOPIC").alias("reject_reason")
+        "_given.*", F.lit("INVALID_TOPIC").alias("reject_reason")
     )
     rejected = envelope.rejected(canonical).unionByName(unroutable, allowMissingColumns=True)
     return Outputs(messages, rejected, events)

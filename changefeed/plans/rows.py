@@ -45,11 +45,11 @@ def saved_at_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.load_positions(spark, out)
 
 
-SAVED_SQL = f"""p AS (SELECT source_partition, max(ts_ms) AS saved_ts FROM f WHERE ts_ms < {CUT_MS} GROUP BY source_partition)"""
+SAVED_SQL = f"""p AS (SELECT source_partition, max(ROW(ts_ms, lsn)) AS saved FROM f WHERE ts_ms < {CUT_MS} GROUP BY source_partition)"""
 
 
-@query("position_compare", FEED_SQL + f""", {SAVED_SQL} SELECT lsn, CASE WHEN ts_ms < saved_ts THEN -1 WHEN ts_ms > saved_ts THEN 1
-    ELSE 0 END AS sign, ts_ms > saved_ts AS is_after, ts_ms < saved_ts AS is_before FROM f JOIN p USING (source_partition)""")
+@query("position_compare", FEED_SQL + f""", {SAVED_SQL} SELECT lsn, CASE WHEN ROW(ts_ms, lsn) < saved THEN -1 WHEN ROW(ts_ms, lsn) > saved THEN 1
+    ELSE 0 END AS sign, ROW(ts_ms, lsn) > saved AS is_after, ROW(ts_ms, lsn) < saved AS is_before FROM f JOIN p USING (source_partition)""")
 def position_compare(spark, sf_dir):
     joined = positions.with_saved_position(events(spark, sf_dir), saved_at_cut(spark, sf_dir))
     at, saved = F.col("position"), F.col("saved")
@@ -71,7 +71,7 @@ def positions_latest(spark, sf_dir):
 
 
 @query("resume_after", FEED_SQL + f""", {SAVED_SQL} SELECT lsn, operation FROM f JOIN p USING (source_partition)
-    WHERE ts_ms > saved_ts""")
+    WHERE ROW(ts_ms, lsn) > saved""")
 def resume_after(spark, sf_dir):
     return positions.resume_after(events(spark, sf_dir), saved_at_cut(spark, sf_dir)).select(lsn(), "operation")
 

@@ -16,10 +16,10 @@ from changefeed.sources import changelog
 from changefeed.streaming import ingest
 
 
-def write_feed(feed, path: str, files: int = 4) -> None:
-    """Append the feed as ``files`` files of rising log position."""
+def write_feed(feed, path: str, files: int = 4, newest_first: bool = False) -> None:
+    """Append the feed as ``files`` files of rising, or falling, log position."""
     number = F.try_variant_get(F.try_parse_json("source_offset"), "$.timestamp", "bigint")
-    feed.repartitionByRange(files, number.asc_nulls_first()).write.mode("append").parquet(path)
+    feed.repartitionByRange(files, number.desc_nulls_last() if newest_first else number.asc_nulls_first()).write.mode("append").parquet(path)
 
 
 def read_messages(spark, out: str):
@@ -37,16 +37,16 @@ def read_messages(spark, out: str):
     operation, lsn, after_status, CASE WHEN table_name <> 'customers' THEN after_amount END AS after_amount
     FROM f WHERE table_name <> 'audit_log'""")
 def stream_ingest(spark, sf_dir):
-    """Capture under rules, two files per micro-batch; the feed is delivered twice and deduplicated."""
+    """Capture under rules, one file per micro-batch; the feed is delivered twice, the second time newest first, and deduplicated."""
     feed, out = work_dir(spark, "feed"), work_dir(spark, "capture")
     write_feed(change_feed(spark, sf_dir), feed)
-    write_feed(change_feed(spark, sf_dir), feed)
+    write_feed(change_feed(spark, sf_dir), feed, newest_first=True)
     capture = ingest.start_capture(
-        changelog.stream_changes(spark, feed, per_trigger=2),
+        changelog.stream_changes(spark, feed, per_trigger=1),
         out,
         f"{out}/checkpoint",
         load_rules=lambda: rule_table(spark, RULES_V1),
-        dedupe_delay="60 days",
+        dedupe=True,
         available_now=True,
     )
     capture.awaitTermination()

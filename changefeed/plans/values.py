@@ -112,7 +112,7 @@ def looks_like_time(spark, sf_dir):
 
 @query("time_name_flags", r"""SELECT event_id, name, regexp_matches(lower(name), 'time|date|timestamp|_at$|_on$|^(created|updated|modified)$') AS flag
     FROM (SELECT event_id, CASE user_id % 7 WHEN 0 THEN event_type || '_at' WHEN 1 THEN upper(event_type) || '_ON' WHEN 2 THEN event_type || '_count'
-      WHEN 3 THEN 'up' || 'date_' || event_type WHEN 4 THEN 'life' || 'time' WHEN 5 THEN 'created' ELSE event_type END AS name FROM events)""")
+      WHEN 3 THEN 'update_' || event_type WHEN 4 THEN 'lifetime' WHEN 5 THEN 'created' ELSE event_type END AS name FROM events)""")
 def time_name_flags(spark, sf_dir):
     kind, event = F.col("user_id") % 7, F.col("event_type")
     name = (

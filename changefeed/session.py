@@ -37,10 +37,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder under the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in tests, a temporary folder of this machine is used.
+    Only where that setting is absent in local mode, as in tests, a temporary folder of this machine is used; on a cluster
+    executors would not share it, so there the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="changefeed-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 

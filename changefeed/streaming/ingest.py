@@ -6,6 +6,7 @@ import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from changefeed.operators import envelope
@@ -19,24 +20,36 @@ FLUSH_INTERVAL = "10 seconds"
 RuleLoader = Callable[[], DataFrame | None]
 
 
-def dedupe_within(canonical: DataFrame, delay: str) -> DataFrame:
-    """Drop copies of an event that arrive within ``delay`` of event time; state older than that is freed."""
-    return canonical.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["event_id"])
+def unseen(canonical: DataFrame, seen: str, batch_id: int) -> DataFrame:
+    """The batch without copies of accepted events, in it or from earlier batches, whose ids are stored under ``seen``.
+
+    No event time is involved, so a late event is never lost. Rejected records and tombstones stay. The ids of the batch itself,
+    from a run that failed, are not looked at: a batch that runs again gives the same rows.
+    """
+    sound = F.col("reject_reason").isNull()
+    once = canonical.where(sound).dropDuplicates(["event_id"])
+    if batch_id > 0:
+        earlier = canonical.sparkSession.read.parquet(seen).where(F.col("batch_id") < batch_id).select("event_id")
+        once = once.join(earlier, "event_id", "left_anti")
+    return once.unionByName(canonical.where(~sound))
 
 
 def capture_batch(
-    canonical: DataFrame, batch_id: int, out: str, load_rules: RuleLoader | None = None, **options
+    canonical: DataFrame, batch_id: int, out: str, load_rules: RuleLoader | None = None, dedupe: bool = False, **options
 ) -> None:
-    """Publish, then store rejects, then save positions, all under the batch's own folders.
+    """Publish, then store rejects, then save positions, all under the batch's own folders. With ``dedupe`` every event is published once.
 
     A batch that runs again after a failure overwrites what it wrote before.
     """
-    held = canonical.persist()
+    held = (unseen(canonical, f"{out}/seen", batch_id) if dedupe else canonical).persist()
     try:
         rule_table = load_rules() if load_rules else None
         outputs = pipeline.run(held, rule_table, **options)
         sinks.write_by_topic(outputs.messages, f"{out}/messages/batch_id={batch_id}")
         sinks.write_rejected(outputs.rejected, f"{out}/rejected/batch_id={batch_id}")
+        if dedupe:
+            ids = held.where(F.col("reject_reason").isNull()).select("event_id")
+            ids.write.mode("overwrite").parquet(f"{out}/seen/batch_id={batch_id}")
         try:
             sinks.save_positions(outputs.events, f"{out}/positions", batch_id)
         except Exception:  # the events are out; the checkpoint still resumes the stream
@@ -50,20 +63,18 @@ def start_capture(
     out: str,
     checkpoint: str,
     load_rules: RuleLoader | None = None,
-    dedupe_delay: str | None = None,
+    dedupe: bool = False,
     available_now: bool = False,
     **options,
 ) -> StreamingQuery:
     """Start capture of a feed stream into files under ``out``.
 
-    ``load_rules`` is called for every batch, so changed rules apply without a restart. With
-    ``available_now`` the query ends when it has read what is there.
+    ``load_rules`` is called for every batch, so changed rules apply without a restart. With ``dedupe`` copies of an event
+    are published once, however late they come. With ``available_now`` the query ends when it has read what is there.
     """
     canonical = envelope.to_canonical(changes)
-    if dedupe_delay:
-        canonical = dedupe_within(canonical, dedupe_delay)
     writer = canonical.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: capture_batch(batch, batch_id, out, load_rules, **options)
+        lambda batch, batch_id: capture_batch(batch, batch_id, out, load_rules, dedupe, **options)
     )
     trigger = {"availableNow": True} if available_now else {"processingTime": FLUSH_INTERVAL}
     return writer.trigger(**trigger).start()

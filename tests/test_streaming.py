@@ -64,12 +64,23 @@ def test_rules_are_reloaded(spark, box):
     assert published(spark, box) == [(2, "cdc.cdcdb.public.customers")]
 
 
-def test_copies_within_the_delay(spark, box):
+def test_copies_are_published_once(spark, box):
     for _ in range(2):
         add(spark, box, [record(), record(op="t")], [offset(1), offset(2)])
-    run(spark, box, dedupe_delay="1 hour")
+    run(spark, box, dedupe=True)
     assert [n for n, _ in published(spark, box)] == [1]
-    assert spark.read.parquet(f"{box['out']}/rejected").count() == 1
+    assert spark.read.parquet(f"{box['out']}/rejected").count() == 2
+
+
+def test_nothing_is_lost_after_tombstones_and_far_dates(spark, box):
+    """Tombstones, a date far in the future and an impossible one come before events with older dates: all of these are published."""
+    add(spark, box, [record(ts_ms=4102444800000), record(ts_ms=9223372036854775807), None], [offset(1), offset(2), offset(3)])
+    for n in range(4, 8):
+        add(spark, box, [record(ts_ms=1700000000000 - n * 86400000)], [offset(n)])
+        add(spark, box, [record(ts_ms=1700000000000 - n * 86400000)], [offset(n)])
+    run(spark, box, dedupe=True)
+    assert sorted(n for n, _ in published(spark, box)) == [1, 4, 5, 6, 7]
+    assert [r.reject_reason for r in spark.read.parquet(f"{box['out']}/rejected").collect()] == ["TIME_OUT_OF_RANGE"]
 
 
 def test_a_batch_that_runs_again_replaces_itself(spark, box):
