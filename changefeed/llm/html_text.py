@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_PAGES = 2_000  # pages that are learned from, those with the smallest hash of their id
 FEATURES = 20_000  # of the sample, at most, the commonest
-EXAMPLE_WEIGHT = 5  # pages of the sample that one example counts as
+EXAMPLE_WEIGHT = 100  # pages of the sample that one example counts as
 
 # fixed values: elements by the role that the markup language gives them
 BLOCKS = {
@@ -140,7 +140,7 @@ def counts(page: Page) -> Counter:
 class Potentials:
     """Log-odds of features, and the parent-child table, from counts."""
 
-    def __init__(self, found: Counter, smooth: float = 1.0):
+    def __init__(self, found: Counter, smooth: float = 0.2):
         nodes = [found["node", "", s] + smooth for s in (0, 1)]
         names = {f for f, of, _ in found if of == "" and f != "node"}
         self.odds = {
