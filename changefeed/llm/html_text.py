@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_PAGES = 2_000  # pages that are learned from, those with the smallest hash of their id
 FEATURES = 20_000  # of the sample, at most, the commonest
-EXAMPLE_WEIGHT = 100  # pages of the sample that one example counts as
+EXAMPLE_WEIGHT = 1000  # pages of the sample that one example counts as
 
 # fixed values: elements by the role that the markup language gives them
 BLOCKS = {
