@@ -146,6 +146,32 @@ def test_line_simhash_and_edit_similarity(spark):
     assert pair.select(lines.word_letters("a").alias("a"), lines.word_letters("b").alias("b")).selectExpr("levenshtein(a, b)").first()[0] == 2
 
 
+def test_line_votes_in_lanes_are_those_of_the_lambda(spark):
+    sizes = (1, 2, 6, 7, 8, 14, 15, 127, 128, 510, 511, 512, 513, 1500)
+    rows = [([xxhash.xxh64_intdigest(f"{n} {i}".encode()) - (1 << 63) for i in range(n)], n) for n in sizes] + [([-1] * 511, 0), ([], -1), (None, -2)]
+    frame = spark.createDataFrame(rows + rows, "hashes array<bigint>, n int").repartition(3)
+    want = {r.n: r.bits for r in frame.select("n", lines.simhash("hashes").alias("bits")).collect()} | {-1: 0}
+    got = [(r.n, r.bits) for r in lines.with_simhash(frame).collect()]
+    assert len(got) == 2 * len(rows) and {n: bits for n, bits in got} == want and all(want[n] == bits for n, bits in got)
+
+
+def test_lines_of_one_group_that_no_single_leader_reaches(spark):
+    base = passage(9, 60).split()
+    # a chain: each line differs from the one before in one word
+    chain = [base[:i] + [f"new{j}" for j in range(i)] + base[i:] for i in range(0, 30)]
+    docs = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(chain)], "doc_id bigint, text string")
+    every = lines.lines_of(docs).collect()
+    bits = {r.doc: r.bits for r in every}
+    near = [(a, b) for a in bits for b in bits if a < b and bin((bits[a] ^ bits[b]) % (1 << 64)).count("1") <= 3]
+    near = [(a, b) for a, b in near if len(chain[a]) >= 0.8 * len(chain[b])]
+    find = {a: a for a in bits}
+    for _ in bits:
+        for a, b in near:
+            find[a] = find[b] = min(find[a], find[b])
+    kept = {r.doc_id for r in lines.without_repeated_lines(docs).where("text <> ''").collect()}
+    assert kept == {a for a in bits if find[a] == a} and len(kept) < len(bits)
+
+
 def test_phrases(spark, texts):
     for text in texts:
         data = (text or "").encode()
