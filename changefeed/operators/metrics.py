@@ -50,8 +50,8 @@ def capture_metrics(canonical: DataFrame) -> DataFrame:
     )
     latencies = by_latency.where(ok)
     points = exact_percentiles(latencies, "latency", "n", tuple(LATENCY_POINTS.values()), tuple(LATENCY_POINTS))
-    # both sides are one row
-    return counts.withColumn("_one", F.lit(1)).join(points.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    both = counts.unionByName(points, allowMissingColumns=True)  # one row each
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
 
 
 def _operation_counts() -> list[Column]:

@@ -309,7 +309,7 @@ def composite_key(spark, sf_dir):
       || replace(c_name, '#', '_') AS custom_topic
     FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def topic_names(spark, sf_dir):
-    nation = F.broadcast(table(spark, sf_dir, "nation"))  # 25 rows at every scale
+    nation = table(spark, sf_dir, "nation")
     rows = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     named = rows.withColumn("table", F.struct(
         F.col("c_mktsegment").alias("database"),

@@ -67,18 +67,19 @@ def stream_resume(spark, sf_dir):
     return read_messages(spark, out).select("topic", "operation", "lsn", *row_fields("after"))
 
 
-@query("stream_metrics_by_period", FEED_SQL + f"""SELECT {iso_ms_sql('ts_ms // 3600000 * 3600000')} AS period_start, fqn, {_COUNTS_SQL} FROM f
-    WHERE ts_ms // 3600000 < (SELECT max(ts_ms) // 3600000 FROM f) GROUP BY ts_ms // 3600000, fqn""")
+@query("stream_metrics_by_period", FEED_SQL + f"""SELECT {iso_ms_sql('ts_ms // 3600000 * 3600000')} AS period_start, fqn, {_COUNTS_SQL} FROM f GROUP BY ts_ms // 3600000, fqn""")
 def stream_metrics_by_period(spark, sf_dir):
-    """Hourly metrics of a stream under a watermark: every hour that is closed."""
+    """Hourly metrics of a stream, one file per micro-batch: each batch stores the hours it changed, and the last batch of an hour counts."""
     feed, out = work_dir(spark, "feed"), work_dir(spark, "periods")
     write_feed(change_feed(spark, sf_dir), feed)
-    live = envelope.accepted(envelope.to_canonical(changelog.stream_changes(spark, feed, per_trigger=4)))
-    periods = metrics.metrics_by_period(live, watermark="0 seconds")
+    live = envelope.accepted(envelope.to_canonical(changelog.stream_changes(spark, feed, per_trigger=1)))
+    periods = metrics.metrics_by_period(live, watermark="1 hour")
     run = (
-        periods.writeStream.outputMode("append").option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True).format("parquet").start(f"{out}/rows")
+        periods.writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
+        .foreachBatch(lambda changed, batch_id: changed.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}"))
+        .start()
     )
     run.awaitTermination()
-    stored = spark.read.parquet(f"{out}/rows")
-    return stored.withColumn("period_start", iso_instant(F.col("period_start"))).drop("period_end")
+    counts = [f"{op}_count" for op in ("insert", "update", "delete")]
+    newest = spark.read.parquet(f"{out}/rows").groupBy("period_start", "fqn").agg(F.max_by(F.struct(*counts), "batch_id").alias("last"))
+    return newest.select(iso_instant(F.col("period_start")).alias("period_start"), "fqn", "last.*")

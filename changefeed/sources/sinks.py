@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +70,12 @@ def save_positions(events: DataFrame, path: str, batch_id: int) -> None:
     latest_positions(events).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def delete_positions(spark: SparkSession, path: str, into: str, sources: Sequence[str]) -> None:
+    """Write the loaded positions but those of ``sources`` as batch 0 of a new folder; a source that has none is no error."""
+    left = load_positions(spark, path).where(~F.col("source_partition").isin(list(sources)))
+    left.coalesce(1).write.mode("errorifexists").parquet(f"{into}/batch_id=0")
+
+
 def compact_positions(spark: SparkSession, path: str, into: str) -> None:
     """Write the loaded positions as batch 0 of a new folder, when old batches have piled up."""
     load_positions(spark, path).coalesce(1).write.mode("errorifexists").parquet(f"{into}/batch_id=0")

@@ -50,6 +50,9 @@ def test_resume_and_rejects(spark, box):
     assert sorted(r.reject_reason for r in dead.collect()) == ["MALFORMED", "UNKNOWN_OP"]
     saved = sinks.load_positions(spark, f"{box['out']}/positions").collect()
     assert [(r.source_partition, r.position.log_key) for r in saved] == [("{server=src}", 4)]
+    source = saved[0].source_partition
+    sinks.delete_positions(spark, f"{box['out']}/positions", f"{box['out']}/left", [source, "none of this name"])
+    assert sinks.load_positions(spark, f"{box['out']}/left").count() == len(saved) - 1
     sinks.compact_positions(spark, f"{box['out']}/positions", box["registry"])
     assert [r.position.log_key for r in sinks.load_positions(spark, box["registry"]).collect()] == [4]
 
