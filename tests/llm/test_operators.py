@@ -172,6 +172,38 @@ def test_lines_of_one_group_that_no_single_leader_reaches(spark):
     assert kept == {a for a in bits if find[a] == a} and len(kept) < len(bits)
 
 
+def word_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_no_pair_of_similar_lines_is_missed(spark):
+    rng, rows = np.random.default_rng(11), []
+    for seed, n in enumerate([4, 5, 6, 9, 10, 11, 14, 15, 19, 20, 24, 25, 39, 40, 60, 100] * 4):
+        line = passage(100 + seed, n).split()
+        for share in (0.05, 0.1, 0.15, 0.2, 0.22):
+            copy = list(line)
+            for at in sorted(rng.choice(n, max(1, int(share * n + 1e-9)), replace=False), reverse=True):
+                new = f"new{rng.integers(1 << 40)}"
+                copy[at : at + 1] = ([new], [], [copy[at], new])[rng.integers(3) if seed % 4 else 0]
+            rows += [line, copy]
+    rows = [*{tuple(r): r for r in rows}.values()]
+    find = list(range(len(rows)))
+    for b, y in enumerate(rows):
+        for a, x in enumerate(rows[:b]):
+            longest = max(len(x), len(y))
+            if len({*x} & {*y}) >= 0.5 * longest and word_edits(x, y) * 5 <= longest:
+                old, new = max(find[a], find[b]), min(find[a], find[b])
+                find = [new if f == old else f for f in find]
+    docs = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(rows)], "doc_id bigint, text string").repartition(5)
+    kept = {r.doc_id for r in lines.without_repeated_lines(docs).where("text <> ''").collect()}
+    assert kept == {a for a in range(len(rows)) if find[a] == a} and 64 <= len(kept) < len(rows) / 2
+
+
 def test_phrases(spark, texts):
     for text in texts:
         data = (text or "").encode()
