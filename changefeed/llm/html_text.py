@@ -35,9 +35,13 @@ SPACED = {"br", "td", "th"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}}
 VOID = {"hr"}
 
-_RAW = "script|style|template|noscript|textarea|select|button|iframe|object|svg|title"
+# dropped with what is in them: those that hold text only, up to the end of the page if not closed, and others, just the tag if not closed
+_RAW = "script|style|textarea|title|iframe"
+DROPPED = {"template", "noscript", "select", "button", "object", "svg"}
+NESTED = {"template", "object", "svg"}  # of these, those that can hold their like
+_EDGE = re.compile(rf"<(/?)({'|'.join(sorted(DROPPED))})(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -46,6 +50,22 @@ _MAIN = re.compile(r"data-main=\"([01])\"")
 _PART = re.compile(r"[a-z]+")
 
 
+def dropped(html: str) -> dict[int, int]:
+    """Where the start tag of each closed element of DROPPED ends: where its end tag ends. An svg that closes itself is empty."""
+    open_tags: dict[str, list[int]] = {name: [] for name in DROPPED}
+    ends = {}
+    for edge in _EDGE.finditer(html):
+        name = edge[2].lower()
+        if edge[1]:
+            if open_tags[name]:
+                ends[open_tags[name].pop()] = edge.end()
+        elif name != "svg" or not edge[3].endswith("/"):
+            if name not in NESTED:
+                open_tags[name].clear()
+            open_tags[name].append(edge.end())
+    return ends
+
+
 class Page:
     """Nodes of a page (parent before child) and its stretches of text in page order, each with its node."""
 
@@ -57,6 +77,7 @@ class Page:
 
     def _build(self, html: str) -> None:
         stack, node, links, run, at = [0], 0, 0, [], 0
+        ends: dict[int, int] | None = None
 
         def flush() -> None:
             if run:
@@ -72,12 +93,16 @@ class Page:
                 self.text[stack[-1]] += size
                 self.linked[stack[-1]] += size * (links > 0)
 
-        for token in _TOKEN.finditer(html):
+        while token := _TOKEN.search(html, at):
             add(html[at : token.start()])
             at = token.end()
             name = (token[3] or token[6] or "").lower()
             closing = bool(token[2] or token[5])
-            if name == "a":
+            if name in DROPPED:
+                if not closing:
+                    ends = dropped(html) if ends is None else ends
+                    at = ends.get(at, at)
+            elif name == "a":
                 links = 0 if closing else 1
             elif name in SPACED:
                 run.append(" ")

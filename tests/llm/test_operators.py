@@ -255,6 +255,19 @@ def test_marginals_are_exact():
     assert np.allclose(model.marginals(page), ones / total)
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<p>a <svg class=i/> b</p><p>rest</p>", "a b|rest"), ("<p>a <svg/> b <svg x='/>'>c<svg/>d<svg>e</svg>f</svg>g</p>", "a b g"),
+    *((f"<p>a</p><{n}>x</{n}><p>rest</p>", "a|x|rest") for n in ("button-group", "title-bar", "style-guide", "script-x", "svg-icon", "select_one", "object:x")),
+    *((f"<p>a</p><{n} id=1><p>rest</p>", "a|rest") for n in ("template", "noscript", "select", "button", "object", "svg")),
+    *((f"<p>a</p><{n} id=1>x</{n} ><p>rest</p>", "a|rest") for n in ("template", "noscript", "select", "BUTTON", "object", "svg", "title", "iframe")),
+    *((f"<p>a</p><{n}>x<p>rest</p>", "a") for n in ("script", "style", "textarea", "title", "iframe")),
+    ("<p>a</p><script>x</script y><p>rest</p>", "a|rest"), ("<button><p>a</p><button>x</button><p>rest</p>", "a|rest"),
+    ("<object><p>a</p><object>x</object><p>rest</p>", "a|rest"), ("<p>a</button></svg> b</p>", "a b"),
+])
+def test_what_is_dropped_of_a_page(html, want):
+    assert "|".join(text for _, text in html_text.Page(html).stretches) == want
+
+
 def test_grammar():
     nexts, weights = toxicity.tables(toxicity.grammar())
     lexicon = toxicity.Lexicon({"gloop": 5.0})
