@@ -213,10 +213,26 @@ def held_out(doc_id: str | Column, folds: int, fold: int) -> Column:
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``threshold``, with its columns. The score is a row's own, so ids do not matter for it."""
-    scored = classify(docs, labels, threshold)
-    good = scored.where("predicted = 1").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(F.col("_good")), "left_semi")
+    """The rows of ``docs`` with a score of at least ``threshold``, with its columns. The score is a row's own, so ids do not matter for it:
+    the statistics are made again beside the row."""
+    _, model = learned(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                if isinstance(model, Discriminant):
+                    yield part.filter(pa.array(model.score(statistics(part.column("text"))) >= threshold))
+                elif model >= threshold:
+                    yield part
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def learned(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Discriminant | float]:
+    """The statistics of ``docs``, written once, with ``held_out``, and what is learned from the rows that are not held out."""
+    x = written(with_statistics(docs), "quality").withColumn("held_out", held_out("doc_id", 4, 2))
+    known = labels.select("doc_id", F.col("quality").alias("label"))
+    return x, fit(x.where("not held_out").join(known, "doc_id"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -224,7 +240,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
     The statistics are written once, so the texts are read once.
     """
-    x = written(with_statistics(docs), "quality").withColumn("held_out", held_out("doc_id", 4, 2))
-    known = labels.select("doc_id", F.col("quality").alias("label"))
-    model = fit(x.where("not held_out").join(known, "doc_id"))
+    x, model = learned(docs, labels)
     return score(x, model).select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

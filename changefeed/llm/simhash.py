@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from changefeed.llm.arrays import flat_text, sliced
 from changefeed.llm.components import components
+from changefeed.operators.skew import broadcast_if_small
 from changefeed.session import written
 
 SHINGLE = 3
@@ -173,9 +174,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, with the columns of ``docs``; rows without an id stay.
-
-    Of rows that share an id, all stay or none.
-    """
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, (docs["doc_id"] == F.col("_kept")), "left").where("_kept is not null or doc_id is null").select(*(docs[c] for c in docs.columns))
+    """One row of ``docs`` for each component, with the columns of ``docs``: that of the smallest id, or one without an id if none has one. Among
+    rows that share that id, or lack one, a hash of the row decides; of equal rows one stays."""
+    whole = [*docs.columns, *(F.col(c).isNull() for c in docs.columns)]
+    keys = {"_k1": F.xxhash64(*whole), "_k2": F.xxhash64(F.lit(1), *whole)}
+    own = written(fingerprints(docs.select("doc_id", "text", *(k.alias(c) for c, k in keys.items()))).drop("text"), "simhash")
+    kinds = own.groupBy("fingerprint", "_k1", "_k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("times"))
+    nodes = written(own.select("fingerprint").distinct(), "simhash-nodes")
+    found = components(links(nodes)).withColumnRenamed("node", "fingerprint")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_k1", "_k2", "times")).alias("first")
+    kept = kinds.join(found, "fingerprint", "left").groupBy(F.coalesce("component", "fingerprint")).agg(first)
+    kept = written(kept.select("first._k1", "first._k2", "first.times"), "simhash-kept")
+    keyed = docs.withColumns(keys)
+    once = keyed.join(kept.where("times = 1"), ["_k1", "_k2"], "left_semi")
+    repeated = keyed.join(broadcast_if_small(kept.where("times > 1")), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    return once.select(*docs.columns).union(repeated.select(*docs.columns))

@@ -1,8 +1,7 @@
 """A corpus pipeline of the library's operators: each stage's rows are written as Parquet and are the next one's documents.
 
 Rejected by the quality classifier: the document goes. Repeated lines go; the text may become empty. Of each group of near-duplicates the document with the smallest id
-stays. A document that holds a benchmark item goes. Last, texts are encoded, and decoded as a check. Rows without an id stay where a stage
-compares ids. Tables other than documents are read from the data folder.
+stays, or one without an id if none has one. A document that holds a benchmark item goes. Last, texts are encoded, and decoded as a check. Tables other than documents are read from the data folder.
 """
 
 from __future__ import annotations

@@ -288,6 +288,27 @@ def test_classifiers_without_labels(spark, texts, module, label):
     assert module.classify(table(spark, texts).limit(0), labels).count() == 0
 
 
+def test_rows_that_share_or_lack_an_id_are_kept_by_their_own_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    scored = {r.doc_id: r.predicted for r in quality.classify(docs, labels).collect()}
+    known = {r.doc_id for r in labels.select("doc_id").collect()}
+    rest = {k: [i for i in sorted(scored) if scored[i] == k and i not in known][:20] for k in (0, 1)}
+    assert all(rest.values())
+    # rows that are not labelled lose their ids or share one, so what is learned stays the same
+    other = {i: (None if n % 2 else -1) for k in rest for n, i in enumerate(rest[k])}
+    rows = [(other.get(r.doc_id, r.doc_id), r.text, str(r.doc_id)) for r in docs.collect()]
+    kept = {int(r.was) for r in quality.keep(spark.createDataFrame(rows, "doc_id bigint, text string, was string"), labels).collect()}
+    assert kept == {i for i in scored if scored[i]}
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    a, b, c = passage(21, 80), passage(22, 80), passage(23, 80)
+    rows = [(None, a), (None, a), (7, b), (7, b), (7, b + "  "), (7, c), (9, c), (None, c), (3, passage(24, 80))]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    assert sorted((r.doc_id or 0, r.text.strip()) for r in got) == sorted([(0, a), (7, b), (7, c), (3, rows[-1][1])])
+
+
 def test_classifiers_on_held_out_rows(spark, sf_dir):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = QUERIES["op1_quality_classifier"](spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out")
