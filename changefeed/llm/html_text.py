@@ -22,8 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_PAGES = 2_000  # pages that are learned from, those with the smallest hash of their id
-FEATURES = 20_000  # of the sample, at most, the commonest
+SAMPLE_PAGES = 2_000  # pages that are learned from, of those that mark their text those with the smallest hash of their id
 EXAMPLE_WEIGHT = 1000  # pages of the sample that one example counts as
 
 # fixed values: elements by the role that the markup language gives them
@@ -213,13 +212,13 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Potentials:
                     found.update(counts(page))
             yield pd.DataFrame([(f, str(of), s, c) for (f, of, s), c in found.items()], columns=["what", "parent", "state", "n"])
 
-    ids = pages.select("page_id").where("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
-    # at most sample_pages numbers
+    marked = F.col("html").rlike(r"(?i)<(article|main)[\s/>]")
+    ids = pages.where(F.col("page_id").isNotNull() & marked).select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
+    # at most sample_pages numbers; all counts of the sample, as a feature without one of its states would have wrong odds
     rows = (
-        pages.select("page_id", "html").join(F.broadcast(ids.distinct()), "page_id", "left_semi")
+        pages.select("page_id", "html").join(F.broadcast(ids), "page_id", "left_semi")
         .mapInPandas(count, "what string, parent string, state int, n bigint")
         .groupBy("what", "parent", "state").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "what", "parent", "state").limit(FEATURES)
         .collect()
     )
     total = Counter({(r.what, int(r.parent) if r.parent else "", r.state): r.n for r in rows})

@@ -268,6 +268,16 @@ def test_what_is_dropped_of_a_page(html, want):
     assert "|".join(text for _, text in html_text.Page(html).stretches) == want
 
 
+def test_pages_that_mark_their_article_are_learned_from_whole(spark):
+    names = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) + "x" for i in range(11_000)]
+    paragraphs = "".join(f"<p class={n}>t</p>" for n in names)
+    marked = f"<article>{paragraphs}</article><nav>{paragraphs}</nav>"
+    pages = [(i, "u", "<div><p>no mark</p></div>") for i in range(50)] + [(99, "u", marked)]
+    learned = html_text.train(spark.createDataFrame(pages, "page_id bigint, url string, html string"), sample_pages=1)
+    odds = {round(learned.odds.get(f"name {n}", -99), 6) for n in names}
+    assert len(odds) == 1 and -99 not in odds
+
+
 def test_grammar():
     nexts, weights = toxicity.tables(toxicity.grammar())
     lexicon = toxicity.Lexicon({"gloop": 5.0})
