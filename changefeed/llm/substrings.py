@@ -78,9 +78,9 @@ def stretches(names: np.ndarray, names2: np.ndarray, limits: np.ndarray, window:
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
-    """doc and tag name a document: its id, and a hash of its text for the case that an id is used again."""
+    """doc and tag name a document: its id, and a hash of 64 bits of its text for the case that an id is used again."""
     return docs.select(
-        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.hash(F.coalesce("text", F.lit(""))).alias("tag"), "doc_id", "text"
+        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "doc_id", "text"
     )
 
 
@@ -126,7 +126,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield _batch(**fields, offset=offset.astype(np.int32), one=one.view(np.int64), two=two.view(np.int64))
 
     tagged = _tagged(docs)
-    every = written(tagged.mapInArrow(parse, "doc bigint, tag int, first int, number int, weight int, key bigint, content bigint"), "stretches")
+    every = written(tagged.mapInArrow(parse, "doc bigint, tag bigint, first int, number int, weight int, key bigint, content bigint"), "stretches")
     keys = every.groupBy("key").agg(F.sum("weight").alias("times"), (F.min("content") == F.max("content")).alias("alike"))
     found = written(every.join(keys.where("times > 1").drop("times"), "key"), "repeated")
     # one document for each different stretch gives its windows

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -181,6 +182,15 @@ def word_edits(a, b):
     return row[-1]
 
 
+def test_texts_without_an_id_whose_short_hashes_are_equal(spark):
+    shared = passage(31, 80)
+    texts = spark.range(400_000).selectExpr("id % 2 as short", f"concat('w', id, ' ', if(id % 2 = 0, '{shared}', 'own')) as text")
+    pair = texts.groupBy(F.hash("text")).agg(F.max_by("text", "short").alias("a"), F.min_by("text", "short").alias("b"), F.sum("short").alias("s"), F.count("*").alias("n"))
+    a, b = pair.where("n = 2 and s = 1").select("a", "b").orderBy("a").first()
+    docs = spark.createDataFrame([(None, a), (None, b), (None, f"{shared} end")], "doc_id bigint, text string")
+    assert sorted((r.n_words, r.n_removed) for r in substrings.removed(docs).collect()) == [(2, 0), (81, 80), (81, 80)]
+
+
 def test_no_pair_of_similar_lines_is_missed(spark):
     rng, rows = np.random.default_rng(11), []
     for seed, n in enumerate([4, 5, 6, 9, 10, 11, 14, 15, 19, 20, 24, 25, 39, 40, 60, 100] * 4):
