@@ -25,35 +25,51 @@ def latency_ms(timestamp: Column | str = "timestamp", source_ts: Column | str =
     return F.unix_millis(timestamp) - F.unix_millis(source_ts)
 
 
-def capture_metrics(canonical: DataFrame) -> DataFrame:
-    """One row: captured, published, failed, exact latency percentiles, period start and end.
+def latency_histogram(canonical: DataFrame) -> DataFrame:
+    """(published, latency, n, first, last): how often a latency occurs, exactly, and when first and last. Rejected records have no latency.
 
-    ``canonical`` is the output of ``to_canonical``; tombstones are not counted. Runs the decoding at once
-    and stores its histogram of latencies in the work folder.
+    ``canonical`` is the output of ``to_canonical``; tombstones are not counted. Histograms of parts of a feed can be merged.
     """
     published = F.col("reject_reason").isNull()
-    by_latency = (
+    return (
         canonical.where(~F.col("reject_reason").eqNullSafe(TOMBSTONE))
         .withColumn("published", published)
-        .groupBy(F.when(published, latency_ms()).alias("latency"), "published")
+        .groupBy("published", F.when(published, latency_ms()).alias("latency"))
         .agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
     )
-    # the feed is decoded once: everything below reads one row per distinct latency
-    by_latency = written(by_latency, "latencies")
+
+
+def merge_histograms(histograms: DataFrame) -> DataFrame:
+    """Rows of several histograms as one."""
+    return histograms.groupBy("published", "latency").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")
+    )
+
+
+def metrics_of_histogram(histogram: DataFrame) -> DataFrame:
+    """``capture_metrics`` of what a histogram has counted."""
     ok = F.col("published")
-    counts = by_latency.agg(
+    counts = histogram.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("captured"),
         F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0)).alias("published"),
         F.coalesce(F.sum(F.when(~ok, F.col("n"))), F.lit(0)).alias("failed"),
         F.min(F.when(ok, F.col("first"))).alias("period_start"),
         F.max(F.when(ok, F.col("last"))).alias("period_end"),
     )
-    latencies = by_latency.where(ok)
+    latencies = histogram.where(ok)
     points = exact_percentiles(latencies, "latency", "n", tuple(LATENCY_POINTS.values()), tuple(LATENCY_POINTS))
     both = counts.unionByName(points, allowMissingColumns=True)  # one row each
     return both.agg(*(F.max(c).alias(c) for c in both.columns))
 
 
+def capture_metrics(canonical: DataFrame) -> DataFrame:
+    """One row: captured, published, failed, exact latency percentiles, period start and end.
+
+    Runs the decoding at once and stores its histogram of latencies in the work folder, so the feed is decoded once.
+    """
+    return metrics_of_histogram(written(latency_histogram(canonical), "latencies"))
+
+
 def _operation_counts() -> list[Column]:
     return [F.count_if(F.col("operation") == op).alias(f"{op.lower()}_count") for op in ("INSERT", "UPDATE", "DELETE")]
 
@@ -82,10 +98,11 @@ def look_back(now: Column, minutes: int = DEFAULT_PERIOD_MINUTES) -> Column:
     return now - F.make_interval(mins=F.lit(minutes))
 
 
-def metrics_by_period(events: DataFrame, period: str = "60 minutes", watermark: str | None = None) -> DataFrame:
-    """Operation counts per table and tumbling period; pass ``watermark`` on a stream."""
-    if watermark:
-        events = events.withWatermark("timestamp", watermark)
+PERIOD_COUNTS = "period_start TIMESTAMP, period_end TIMESTAMP, fqn STRING, insert_count BIGINT, update_count BIGINT, delete_count BIGINT"
+
+
+def metrics_by_period(events: DataFrame, period: str = "60 minutes") -> DataFrame:
+    """Operation counts per table and tumbling period (PERIOD_COUNTS). On a stream, see ``streaming.live_metrics``, which waits for no late event and loses none."""
     return (
         events.groupBy(F.window("timestamp", period).alias("period"), "fqn")
         .agg(*_operation_counts())
@@ -94,6 +111,13 @@ def metrics_by_period(events: DataFrame, period: str = "60 minutes", watermark:
     )
 
 
+def merge_periods(counts: DataFrame) -> DataFrame:
+    """Counts of several parts of a feed as one."""
+    return counts.groupBy("period_start", "period_end", "fqn").agg(
+        *[F.sum(f"{op}_count").alias(f"{op}_count") for op in ("insert", "update", "delete")]
+    )
+
+
 def capture_checks() -> dict[str, Column]:
     """Rules that a ``capture_metrics`` row keeps; true where kept, or where a value is absent."""
     counts = [F.col(c) for c in ("captured", "published", "failed")]

@@ -22,17 +22,23 @@ _CAPTURE_SQL = f"""count(*) AS captured, count(*) FILTER (reason IS NULL) AS pub
     count(*) FILTER (reason IS NOT NULL) AS failed, {_PERCENTILES_SQL}"""
 
 
-@query("capture_metrics", FEED_SQL + f"""SELECT captured, published, failed, p50_ms, p95_ms, p99_ms, {iso_ms_sql('lo')} AS period_start,
+CAPTURE_SQL = FEED_SQL + f"""SELECT captured, published, failed, p50_ms, p95_ms, p99_ms, {iso_ms_sql('lo')} AS period_start,
     {iso_ms_sql('hi')} AS period_end FROM (SELECT {_CAPTURE_SQL}, min(ts_ms) FILTER (reason IS NULL) AS lo,
-    max(ts_ms) FILTER (reason IS NULL) AS hi FROM a WHERE reason IS DISTINCT FROM 'TOMBSTONE')""")
-def capture_metrics(spark, sf_dir):
-    row = metrics.capture_metrics(canonical(spark, sf_dir))
+    max(ts_ms) FILTER (reason IS NULL) AS hi FROM a WHERE reason IS DISTINCT FROM 'TOMBSTONE')"""
+
+
+def show_capture(row):
     return row.select(
         "captured", "published", "failed", *[F.round(p, 6).alias(p) for p in metrics.LATENCY_POINTS],
         iso_instant(F.col("period_start")).alias("period_start"), iso_instant(F.col("period_end")).alias("period_end"),
     )
 
 
+@query("capture_metrics", CAPTURE_SQL)
+def capture_metrics(spark, sf_dir):
+    return show_capture(metrics.capture_metrics(canonical(spark, sf_dir)))
+
+
 @query("table_metrics", FEED_SQL + f"""SELECT fqn, {_COUNTS_SQL}, {iso_ms_sql('max(ts_ms)')} AS last_event,
     max(ROW(ts_ms, lsn))[2] AS last_lsn FROM f GROUP BY fqn""")
 def table_metrics(spark, sf_dir):

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from changefeed.operators import envelope, metrics
 from changefeed.functions.instants import iso_instant
 from changefeed.plans.capture import RULES_V1, row_fields, rule_table
 from changefeed.plans.feed import FEED_SQL, change_feed, iso_ms_sql, pack, row_changes
 from changefeed.plans.registry import query
-from changefeed.plans.reports import _COUNTS_SQL
+from changefeed.plans.reports import _COUNTS_SQL, CAPTURE_SQL, show_capture
 from changefeed.plans.rows import CUT_MS
 from changefeed.session import work_dir
 from changefeed.sources import changelog
-from changefeed.streaming import ingest
+from changefeed.streaming import ingest, live_metrics
 
 
 def write_feed(feed, path: str, files: int = 4, newest_first: bool = False) -> None:
@@ -69,17 +68,21 @@ def stream_resume(spark, sf_dir):
 
 @query("stream_metrics_by_period", FEED_SQL + f"""SELECT {iso_ms_sql('ts_ms // 3600000 * 3600000')} AS period_start, fqn, {_COUNTS_SQL} FROM f GROUP BY ts_ms // 3600000, fqn""")
 def stream_metrics_by_period(spark, sf_dir):
-    """Hourly metrics of a stream, one file per micro-batch: each batch stores the hours it changed, and the last batch of an hour counts."""
-    feed, out = work_dir(spark, "feed"), work_dir(spark, "periods")
-    write_feed(change_feed(spark, sf_dir), feed)
-    live = envelope.accepted(envelope.to_canonical(changelog.stream_changes(spark, feed, per_trigger=1)))
-    periods = metrics.metrics_by_period(live, watermark="1 hour")
-    run = (
-        periods.writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
-        .foreachBatch(lambda changed, batch_id: changed.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}"))
-        .start()
-    )
-    run.awaitTermination()
+    """Hourly metrics of a stream, one file per micro-batch, the newest events first: every batch's counts add up, late hours included."""
+    out = counted_stream(spark, sf_dir)
     counts = [f"{op}_count" for op in ("insert", "update", "delete")]
-    newest = spark.read.parquet(f"{out}/rows").groupBy("period_start", "fqn").agg(F.max_by(F.struct(*counts), "batch_id").alias("last"))
-    return newest.select(iso_instant(F.col("period_start")).alias("period_start"), "fqn", "last.*")
+    return live_metrics.period_metrics(spark, out).select(iso_instant(F.col("period_start")).alias("period_start"), "fqn", *counts)
+
+
+def counted_stream(spark, sf_dir, files: int = 6) -> str:
+    """The folder of the metrics of the feed, streamed a file at a time from its newest part to its oldest."""
+    feed, out = work_dir(spark, "feed"), work_dir(spark, "metrics")
+    write_feed(change_feed(spark, sf_dir), feed, files, newest_first=True)
+    live_metrics.start(changelog.stream_changes(spark, feed, per_trigger=1), out, f"{out}/checkpoint", available_now=True).awaitTermination()
+    return out
+
+
+@query("stream_capture_metrics", CAPTURE_SQL)
+def stream_capture_metrics(spark, sf_dir):
+    """The capture metrics of a stream, percentiles exact, from the histograms of its batches."""
+    return show_capture(live_metrics.capture_metrics(spark, counted_stream(spark, sf_dir)))
