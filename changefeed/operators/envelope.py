@@ -110,9 +110,9 @@ def image_fields(image: Column) -> Column:
     return image.try_cast("map<string,variant>")
 
 
-# Entries of an offset that order positions. JSON text is not taken for a number here.
+# Entries of an offset that order positions. JSON text is not taken for a time or a sequence here; a place in the log may be written as text.
 KEY_SCHEMA = (
-    "`timestamp` BIGINT, ts_ms BIGINT, sequence BIGINT, event BIGINT, file STRING, lsn BIGINT, pos BIGINT, scn BIGINT, "
+    "`timestamp` BIGINT, ts_ms BIGINT, sequence BIGINT, event BIGINT, file STRING, lsn STRING, pos STRING, scn STRING, "
     "change_lsn STRING, commit_lsn STRING, event_serial_no BIGINT"
 )
 
@@ -129,14 +129,16 @@ def offset_keys(offset: Column) -> Column:
 
 def position_struct(partition: Column, entries: Column, keys: Column) -> Column:
     """Position with the keys that order it (see ``positions.sort_key``)."""
+    places = [keys[k] for k in ("lsn", "pos", "scn")]
+    # a place that is no number, or too large a one, orders as text
+    texts = [F.when(p.try_cast("bigint").isNull(), p) for p in places]
     return F.struct(
         F.coalesce(partition, F.lit("unknown")).alias("source_partition"),
         F.to_variant_object(entries).alias("offset"),
         F.coalesce(keys["timestamp"], keys["ts_ms"]).alias("ts_key"),
         F.coalesce(keys["sequence"], keys["event"]).alias("seq_key"),
-        # places written as text of one length order as text
-        F.coalesce(keys["file"], F.nullif(F.concat_ws("/", keys["commit_lsn"], keys["change_lsn"]), F.lit(""))).alias("log_file"),
-        F.coalesce(keys["lsn"], keys["pos"], keys["scn"], keys["event_serial_no"]).alias("log_key"),
+        F.coalesce(keys["file"], F.nullif(F.concat_ws("/", keys["commit_lsn"], keys["change_lsn"]), F.lit("")), *texts).alias("log_file"),
+        F.coalesce(*(p.try_cast("bigint") for p in places), keys["event_serial_no"]).alias("log_key"),
     )
 
 

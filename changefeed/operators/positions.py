@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changefeed.operators.skew import broadcast_if_small, running_number
+from changefeed.operators.skew import broadcast_if_small
+from changefeed.session import written
+
+
+def key_parts(position: Column) -> dict[str, Column]:
+    """The parts of a position's key, the most telling first: time, sequence, then the log's own place (text, then number)."""
+    return {"ts": position["ts_key"], "seq": position["seq_key"], "file": place_text(position["log_file"]), "log": position["log_key"]}
 
 
 def sort_key(position: Column | None = None) -> Column:
-    """Orderable key inside one source partition: time, sequence, then the log's own place.
+    """Orderable key inside one source partition. A part that is missing comes before any that is there.
+
+    Everything about order comes from this key: sorting, comparison, the newest position, resume and numbering.
+    """
+    return F.struct(*(part.alias(name) for name, part in key_parts(F.col("position") if position is None else position).items()))
+
+
+def place_text(text: Column) -> Column:
+    """Text that orders as the log places do that ``text`` stands for: numbers in it by value, however they are written.
 
-    Positions without a time or sequence sort first. The log place breaks ties, so the newest
-    event of a key is the same in every run.
+    ``bin.999`` comes before ``bin.1000``. Groups of hexadecimal digits (``0/16B3748``, ``0000002A:00000758:0005``) are numbers of base 16.
     """
-    at = F.col("position") if position is None else position
-    return F.struct(at["ts_key"], at["seq_key"], at["log_file"], at["log_key"])
+    groups = F.transform(F.split(F.lower(text), "[:/]"), _by_value)
+    tokens = F.transform(F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)"), F.lit(1)), lambda t: F.when(t.rlike("^[0-9]"), _by_value(t)).otherwise(t))
+    return F.when(text.rlike(r"\A[0-9A-Fa-f]+([:/][0-9A-Fa-f]+)+\z"), F.array_join(groups, ":")).otherwise(F.array_join(tokens, ""))
+
+
+def _by_value(digits: Column) -> Column:
+    """Digits of any number, led by how many there are."""
+    plain = F.regexp_replace(digits, "^0+", "")
+    return F.concat(F.lpad(F.length(plain).cast("string"), 3, "0"), plain)
 
 
 def order_columns(position: str = "position") -> list[Column]:
-    keys = ("source_partition", "ts_key", "seq_key", "log_file", "log_key")
-    return [F.col(f"{position}.{k}").asc_nulls_first() for k in keys]
+    at = F.col(position)
+    return [part.asc_nulls_first() for part in (at["source_partition"], *key_parts(at).values())]
 
 
 def in_position_order(events: DataFrame) -> DataFrame:
@@ -30,8 +50,7 @@ def in_position_order(events: DataFrame) -> DataFrame:
 def compare(left: Column, right: Column, mode: str = "typed") -> Column:
     """-1, 0 or 1, first by source partition.
 
-    ``typed``: by the first of time, sequence, log file and log number that both have and that differs, the order of ``sort_key``.
-    ``compat``: by time alone if both have one, else by sequence.
+    ``typed``: by ``sort_key``. ``compat``: by time alone if both have one, else by sequence. NULL if a position is.
     """
     if mode not in ("typed", "compat"):
         raise ValueError(f"mode is typed or compat, not {mode!r}")
@@ -42,20 +61,17 @@ def compare(left: Column, right: Column, mode: str = "typed") -> Column:
     def both(key: str) -> Column:
         return left[key].isNotNull() & right[key].isNotNull()
 
+    sources = left["source_partition"], right["source_partition"]
     if mode == "typed":
-        order = F.when(left["source_partition"] != right["source_partition"], three_way(left["source_partition"], right["source_partition"]))
-        for key in ("ts_key", "seq_key", "log_file", "log_key"):
-            order = order.when(both(key) & (left[key] != right[key]), three_way(left[key], right[key]))
-        return order.otherwise(F.lit(0))
-    return (
-        F.when(
-            left["source_partition"] != right["source_partition"],
-            three_way(left["source_partition"], right["source_partition"]),
+        order = three_way(*(F.struct(at["source_partition"].alias("source"), sort_key(at).alias("key")) for at in (left, right)))
+    else:
+        order = (
+            F.when(sources[0] != sources[1], three_way(*sources))
+            .when(both("ts_key"), three_way(left["ts_key"], right["ts_key"]))
+            .when(both("seq_key"), three_way(left["seq_key"], right["seq_key"]))
+            .otherwise(F.lit(0))
         )
-        .when(both("ts_key"), three_way(left["ts_key"], right["ts_key"]))
-        .when(both("seq_key"), three_way(left["seq_key"], right["seq_key"]))
-        .otherwise(F.lit(0))
-    )
+    return F.when(left.isNotNull() & right.isNotNull(), order)
 
 
 def is_after(left: Column, right: Column) -> Column:
@@ -99,14 +115,25 @@ def in_delivery_order(events: DataFrame, partitions: int | None = None) -> DataF
     return ranged.sortWithinPartitions(*keys)
 
 
-def with_delivery_number(events: DataFrame, name: str = "delivery_no", width_ms: int = 1000) -> DataFrame:
-    """Add each event's place (from 1) in the log order of its table.
+def with_delivery_number(events: DataFrame, name: str = "delivery_no", partitions: int | None = None) -> DataFrame:
+    """Add each event's place (from 1) in the log order of its table; sources that share a table are ordered by their keys, then by name.
 
-    Numbered within ``width_ms`` of log time first, so no task sorts a whole table.
+    The events are exchanged once, by ranges of table and position, so a hot table, or a hot moment of it, fills many tasks. They are
+    written with their place within the range. One row for each range and one for each table then say where a range and a table begin.
     """
     at = F.col("position")
-    keyed = events.withColumns(
-        {"_ts": at["ts_key"], "_seq": at["seq_key"], "_file": at["log_file"], "_log": at["log_key"]}
-    )
-    numbered = running_number(keyed, ["fqn"], ["_ts", "_seq", "_file", "_log"], name, width_ms)
-    return numbered.drop("_ts", "_seq", "_file", "_log")
+    keys = [part.asc_nulls_first() for part in (F.col("fqn"), *key_parts(at).values(), at["source_partition"])]
+    ranged = events.repartitionByRange(partitions, *keys) if partitions else events.repartitionByRange(*keys)
+    ordered = written(ranged.sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "delivery")
+    # the place is the number of the task and, in the lower 33 bits, the row's number in it
+    task, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = ordered.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))
+    begins = tasks.select("_task", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_begin"))
+    tables = (
+        ordered.groupBy("fqn").agg(F.min("_at").alias("_at")).withColumn("_task", task)
+        .join(begins, "_task").select(F.col("fqn").alias("_fqn"), (F.col("_begin") + row).alias("_first"))
+    )
+    placed = ordered.withColumn("_task", task).join(broadcast_if_small(begins), "_task")
+    numbered = placed.join(broadcast_if_small(tables), F.col("fqn").eqNullSafe(F.col("_fqn")))
+    return numbered.select(*events.columns, (F.col("_begin") + row - F.col("_first") + 1).alias(name))

@@ -79,8 +79,38 @@ def resume_after(spark, sf_dir):
 @query("ordered_per_table", FEED_SQL + """SELECT fqn, lsn, row_number() OVER (PARTITION BY fqn ORDER BY ts_ms, lsn) AS delivery_no
     FROM f""")
 def ordered_per_table(spark, sf_dir):
-    numbered = positions.with_delivery_number(events(spark, sf_dir))
-    return positions.in_delivery_order(numbered).select("fqn", lsn(), "delivery_no")
+    """Numbered in one exchange of the events, by ranges of table and position."""
+    return positions.with_delivery_number(events(spark, sf_dir)).select("fqn", lsn(), "delivery_no")
+
+
+LOG_FILE = 512  # events of a log file
+
+
+def log_place_events(spark, sf_dir):
+    """The events of the feed with offsets that tell a file with a numbered suffix and a place in it, and no time."""
+    feed = change_feed(spark, sf_dir)
+    number = F.try_variant_get(F.try_parse_json("source_offset"), "$.lsn", "bigint")
+    place = F.struct(F.concat(F.lit("log."), F.expr(f"_lsn div {LOG_FILE}").cast("string")).alias("file"), (F.col("_lsn") % LOG_FILE).alias("pos"))
+    placed = feed.withColumn("_lsn", number).withColumn("source_offset", F.when(F.col("_lsn").isNotNull(), F.to_json(place)).otherwise(F.col("source_offset")))
+    return envelope.accepted(envelope.to_canonical(placed.drop("_lsn")))
+
+
+def lsn_of_place():
+    return (F.substring_index("position.log_file", ".", -1).cast("bigint") * LOG_FILE + F.col("position.log_key")).alias("lsn")
+
+
+@query("resume_by_log_place", FEED_SQL + f""", p AS (SELECT source_partition, max(lsn) AS saved FROM f WHERE ts_ms < {CUT_MS} GROUP BY source_partition)
+    SELECT lsn, operation FROM f JOIN p USING (source_partition) WHERE lsn > saved""")
+def resume_by_log_place(spark, sf_dir):
+    """Resume where positions have no time: by file, then by place in it. log.9 comes before log.10."""
+    placed, out = log_place_events(spark, sf_dir), work_dir(spark, "positions")
+    sinks.save_positions(placed.where(before_cut()), out, 0)
+    return positions.resume_after(placed, sinks.load_positions(spark, out)).select(lsn_of_place(), "operation")
+
+
+@query("ordered_by_log_place", FEED_SQL + "SELECT fqn, lsn, row_number() OVER (PARTITION BY fqn ORDER BY lsn) AS delivery_no FROM f")
+def ordered_by_log_place(spark, sf_dir):
+    return positions.with_delivery_number(log_place_events(spark, sf_dir)).select("fqn", lsn_of_place(), "delivery_no")
 
 
 FIRST_LAST_SQL = """g AS (SELECT fqn, key_id, arg_min(ROW(op, before_status, before_amount), ROW(ts_ms, lsn)) AS fst,

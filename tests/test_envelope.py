@@ -101,7 +101,10 @@ def test_positions_from_the_source_block(spark):
 @pytest.mark.parametrize(
     "offset, keys",
     [
-        ('{"lsn": "0/1", "timestamp": 9}', (9, None, None, None)),
+        ('{"lsn": "0/1", "timestamp": 9}', (9, None, "0/1", None)),
+        ('{"lsn": "17", "timestamp": 9}', (9, None, None, 17)),
+        ('{"scn": 99999999999999999999, "timestamp": 9}', (9, None, "99999999999999999999", None)),
+        ('{"commit_lsn": "0000002a:00000758:0005", "change_lsn": "0000002a:00000758:0003"}', (None, None, "0000002a:00000758:0005/0000002a:00000758:0003", None)),
         ('{"timestamp": "9", "ts_ms": 8}', (8, None, None, None)),
         ('{"file": "bin.3", "pos": 12, "timestamp": 4}', (4, None, "bin.3", 12)),
         ('{"scn": 5, "sequence": "x", "event": 2}', (None, 2, None, 5)),

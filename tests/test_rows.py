@@ -1,6 +1,7 @@
 """Rules, positions, state, differences, drift and the two-level helpers, against brute force."""
 
 import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -126,28 +127,92 @@ def test_rule_table_diff(spark):
 
 # --- positions ---------------------------------------------------------------------------------------------
 
-POSITION = "source_partition string, ts_key bigint, seq_key bigint"
-places = st.tuples(st.sampled_from(["p", "q"]), st.none() | st.integers(0, 3), st.none() | st.integers(0, 3))
+POSITION = "struct<source_partition: string, ts_key: bigint, seq_key: bigint, log_file: string, log_key: bigint>"
+small = st.none() | st.integers(0, 3)
+texts = st.none() | st.sampled_from(["bin.9", "bin.10", "bin.010", "bin", "0/FF", "0/100", "1/0", "2a:7:5", "2A:10:5", "[\"9\",\"10\"]", "[\"9\",\"9\"]", ""])
+places = st.tuples(st.sampled_from(["p", "q"]), small, small, texts, small)
 
 
-def expected_sign(a, b):
-    if a[0] != b[0]:
-        return -1 if a[0] < b[0] else 1
-    for i in (1, 2):
-        if a[i] is not None and b[i] is not None:
-            return (a[i] > b[i]) - (a[i] < b[i])
-    return 0
+def expected_key(at):
+    """The key of a position, from Python's own order: what is missing first, numbers in text by value."""
 
+    def number(digits):
+        return f"{len(digits.lstrip(chr(48))):03}{digits.lstrip(chr(48)).lower()}"
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(places, places), min_size=1, max_size=40))
+    def text(t):
+        if re.fullmatch("[0-9A-Fa-f]+([:/][0-9A-Fa-f]+)+", t):
+            return ":".join(number(g) for g in re.split("[:/]", t))
+        return "".join(number(g) if g.isdigit() else g for g in re.findall("[0-9]+|[^0-9]+", t))
+
+    parts = (at[1], at[2], None if at[3] is None else text(at[3]), at[4])
+    return (at[0], *((p is not None, p or 0 if not isinstance(p, str) else p) for p in parts))
+
+
+def sign(a, b):
+    x, y = expected_key(a), expected_key(b)
+    return (x > y) - (x < y)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(places, places), min_size=20, max_size=60))
 def test_compare_positions(spark, pairs):
-    df = spark.createDataFrame(pairs, f"a struct<{POSITION.replace(' ', ':').replace(',:', ',')}>, b struct<{POSITION.replace(' ', ':').replace(',:', ',')}>")
+    """Comparison is the sign of the order of keys, whatever parts are missing."""
+    df = spark.createDataFrame(pairs, f"a {POSITION}, b {POSITION}")
     a, b = F.col("a"), F.col("b")
-    rows = df.select("a", "b", positions.compare(a, b), positions.compare(b, a), positions.is_after(a, b), positions.is_before(a, b)).collect()
+    keys = [F.struct(at["source_partition"], positions.sort_key(at)) for at in (a, b)]
+    rows = df.select(
+        "a", "b", positions.compare(a, b), positions.compare(b, a), positions.is_after(a, b), positions.is_before(a, b),
+        F.when(keys[0] < keys[1], -1).when(keys[0] > keys[1], 1).otherwise(0),
+    ).collect()
     for r in rows:
-        sign = expected_sign(r.a, r.b)
-        assert tuple(r)[2:] == (sign, -sign, sign > 0, sign < 0)
+        s = sign(r.a, r.b)
+        assert tuple(r)[2:] == (s, -s, s > 0, s < 0, s), (r.a, r.b)
+    ordered = df.select(F.col("a").alias("position")).orderBy(*positions.order_columns()).collect()
+    assert all(sign(x[0], y[0]) <= 0 for x, y in zip(ordered, ordered[1:]))
+
+
+@pytest.mark.parametrize("rising", [
+    ["mysql-bin.000099", "mysql-bin.000100", "mysql-bin.999999", "mysql-bin.1000000"],
+    ["0/FF", "0/16B3748", "1/0", "1/1", "A/0", "10/0"],
+    ["0000002A:00000758:0005", "0000002a:00000758:000a", "0000002A:00000759:0001", "0000010A:00000001:0001"],
+    ['["9","10"]', '["9","11"]', '["10","1"]', '["100","2"]'],
+    ["99999999999999999999", "100000000000000000000"],
+])
+def test_places_order_as_the_log_does(spark, rising):
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(rising)], "t string, i int")
+    assert [r.i for r in df.orderBy(positions.place_text(F.col("t"))).collect()] == list(range(len(rising)))
+
+
+def test_compat_compares_by_time_else_sequence(spark):
+    df = spark.createDataFrame([(("p", 5, None, None, 9), ("p", 5, 3, None, 10)), (("p", None, 2, "z", 1), ("p", 7, 3, "a", 2)), (("p", 1, 9, "a", 1), None)], f"a {POSITION}, b {POSITION}")
+    got = [tuple(r) for r in df.select(positions.compare(F.col("a"), F.col("b"), "compat"), positions.compare(F.col("a"), F.col("b"))).collect()]
+    assert got == [(0, -1), (-1, -1), (None, None)]
+
+
+def placed(spark, rows):
+    """Events (fqn, source, time, sequence, file, number)."""
+    df = spark.createDataFrame(rows, "fqn string, s string, t bigint, q bigint, f string, l bigint")
+    at = F.struct(F.col("s").alias("source_partition"), F.col("t").alias("ts_key"), F.col("q").alias("seq_key"), F.col("f").alias("log_file"), F.col("l").alias("log_key"))
+    return df.select("fqn", at.alias("position"))
+
+
+def test_resume_by_log_place_alone(spark):
+    """Positions without a time: the file, then the number, tells what comes after."""
+    rows = [("t", "p", None, None, f"bin.{n}", m) for n in (9, 10, 100) for m in (1, 2)]
+    saved = spark.createDataFrame([("p", ("p", None, None, "bin.10", 1))], f"source_partition string, position {POSITION}")
+    left = positions.resume_after(placed(spark, rows), saved).select("position.log_file", "position.log_key")
+    assert rows_of(left) == [("bin.10", 2), ("bin.100", 1), ("bin.100", 2)]
+    assert positions.latest_positions(placed(spark, rows)).first().position.log_file == "bin.100"
+
+
+def test_delivery_numbers(spark):
+    """A table with all its events at one moment, one of two events and one without a name; the numbering needs one exchange of the events."""
+    rng = random.Random(2)
+    rows = [("hot", "p", 7, n, None, n) for n in range(500)] + [("b", "p", 1, None, None, None), ("b", "p", None, 1, None, None), (None, "p", 1, 1, None, None)]
+    rng.shuffle(rows)
+    numbered = positions.with_delivery_number(placed(spark, rows).repartition(4), partitions=6)
+    got = {(r.fqn, r.position.ts_key, r.position.seq_key): r.delivery_no for r in numbered.collect()}
+    assert got == {("hot", 7, n): n + 1 for n in range(500)} | {("b", None, 1): 1, ("b", 1, None): 2, (None, 1, 1): 1}
 
 
 def test_delivery_order_on_disk(spark, sf_dir, tmp_path):
