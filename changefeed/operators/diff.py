@@ -65,15 +65,20 @@ def snapshot_diff(
     columns = _compared(current, key, ignore)
     if previous is None:
         previous = current.where(F.lit(False))
+    return version_diff(_paired(current, previous, key, columns, "full_outer"), key, "_new", "_old", columns)
+
+
+def version_diff(versions: DataFrame, key: Sequence[str], new: str, old: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """``snapshot_diff`` of two versions that stand side by side (structs ``new`` and ``old``, NULL for no row): no join. See ``state.row_versions``."""
+    paired = versions.select(*key, F.col(new).alias("_new"), F.col(old).alias("_old"))
+    columns = versions.schema[new].dataType.fieldNames() if columns is None else columns
     operation = (
-        F.when(F.col("_old").isNull(), F.lit("INSERT"))
-        .when(F.col("_new").isNull(), F.lit("DELETE"))
+        F.when(F.col("_old").isNull() & F.col("_new").isNotNull(), F.lit("INSERT"))
+        .when(F.col("_new").isNull() & F.col("_old").isNotNull(), F.lit("DELETE"))
         .when(_differs(columns), F.lit("UPDATE"))
     )
-    return (
-        _paired(current, previous, key, columns, "full_outer")
-        .select(*key, operation.alias("operation"), F.col("_old").alias("before"), F.col("_new").alias("after"))
-        .where(F.col("operation").isNotNull())
+    return paired.select(*key, operation.alias("operation"), F.col("_old").alias("before"), F.col("_new").alias("after")).where(
+        F.col("operation").isNotNull()
     )
 
 

@@ -47,6 +47,18 @@ def state_as_of(events: DataFrame, key: Sequence[str], bound: Column) -> DataFra
     return replay_state(events.where(bound), key)
 
 
+def row_versions(events: DataFrame, key: Sequence[str], columns: Sequence[str], bounds: dict[str, Column]) -> DataFrame:
+    """``key`` and, for each name in ``bounds``, the row (a struct of ``columns``) as it was left by the events for which the bound holds; NULL where there was
+    none or it was deleted.
+
+    The events are read once for all versions. Each is a partial aggregate, so a hot key is reduced before the shuffle.
+    """
+    at, row = sort_key(), F.struct((F.col("operation") == "DELETE").alias("gone"), F.struct(*columns).alias("row"))
+    last = events.groupBy(*key).agg(*(F.max_by(row, F.when(bound, at)).alias(name) for name, bound in bounds.items()))
+    rows = last.select(*key, *(F.when(~F.col(f"{name}.gone"), F.col(f"{name}.row")).alias(name) for name in bounds))
+    return rows.where(F.coalesce(*bounds).isNotNull())
+
+
 def duplicate_keys(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """Key values that identify more than one row, with their number of rows."""
     return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")

@@ -162,28 +162,32 @@ def state_as_of(spark, sf_dir):
     return _renamed(rows_then(spark, sf_dir))
 
 
-def versions(spark, sf_dir):
-    """(current, previous): the rows of the feed's tables now and at the cut."""
-    return _renamed(rows_now(spark, sf_dir)).drop("lsn"), _renamed(rows_then(spark, sf_dir)).drop("lsn")
+def differences(spark, sf_dir):
+    """What changed in the feed's tables since the cut: ``KEY``, operation, before, after. The feed is decoded once for both versions."""
+    rows = keyed_events(spark, sf_dir).select("*", *row_fields("after", "row"))
+    named = rows.withColumnsRenamed({"row_status": "status", "row_amount": "amount"})
+    both = state.row_versions(named, KEY, ["status", "amount"], {"now": F.lit(True), "then": before_cut()})
+    return diff.version_diff(both, KEY, "now", "then")
 
 
 @query("rows_added", FEED_SQL + f"""SELECT c.fqn, c.key_id, c.status, c.amount FROM {NOW_SQL} c
     ANTI JOIN {THEN_SQL} p ON c.fqn = p.fqn AND c.key_id = p.key_id""")
 def rows_added(spark, sf_dir):
-    return diff.rows_added(*versions(spark, sf_dir), KEY)
+    return differences(spark, sf_dir).where("operation = 'INSERT'").select(*KEY, "after.*")
 
 
 @query("rows_removed", FEED_SQL + f"""SELECT p.fqn, p.key_id, p.status, p.amount FROM {THEN_SQL} p
     ANTI JOIN {NOW_SQL} c ON c.fqn = p.fqn AND c.key_id = p.key_id""")
 def rows_removed(spark, sf_dir):
-    return diff.rows_removed(*versions(spark, sf_dir), KEY)
+    return differences(spark, sf_dir).where("operation = 'DELETE'").select(*KEY, "before.*")
 
 
 @query("rows_changed", FEED_SQL + f"""SELECT c.fqn, c.key_id, p.status AS old_status, p.amount AS old_amount,
     c.status AS new_status, c.amount AS new_amount FROM {NOW_SQL} c JOIN {THEN_SQL} p ON c.fqn = p.fqn AND c.key_id = p.key_id
     WHERE c.status <> p.status OR c.amount <> p.amount""")
 def rows_changed(spark, sf_dir):
-    return diff.rows_changed(*versions(spark, sf_dir), KEY)
+    changed = differences(spark, sf_dir).where("operation = 'UPDATE'")
+    return changed.select(*KEY, *[F.col(f"{side}.{c}").alias(f"{age}_{c}") for age, side in (("old", "before"), ("new", "after")) for c in ("status", "amount")])
 
 
 @query("snapshot_diff", FEED_SQL + f"""SELECT * FROM (SELECT coalesce(c.fqn, p.fqn) AS fqn, coalesce(c.key_id, p.key_id) AS key_id,
@@ -192,7 +196,7 @@ def rows_changed(spark, sf_dir):
     p.status AS old_status, p.amount AS old_amount, c.status AS new_status, c.amount AS new_amount
     FROM {NOW_SQL} c FULL JOIN {THEN_SQL} p ON c.fqn = p.fqn AND c.key_id = p.key_id) WHERE operation IS NOT NULL""")
 def snapshot_diff(spark, sf_dir):
-    return diff.snapshot_diff(*versions(spark, sf_dir), KEY).select(
+    return differences(spark, sf_dir).select(
         *KEY, "operation", F.col("before.status").alias("old_status"), F.col("before.amount").alias("old_amount"),
         F.col("after.status").alias("new_status"), F.col("after.amount").alias("new_amount"),
     )

@@ -258,6 +258,18 @@ def test_replay(spark):
     assert [r[0] for r in rows_of(earlier.select("key"))] == ["a", "b", "c", "e", "f"]
 
 
+def test_row_versions(spark):
+    """Two versions of the rows from one pass, and their differences, are what two passes and a join give."""
+    events = small_events(spark).withColumn("v", F.col("position.ts_key") + F.ascii("key"))
+    bound = F.col("position.ts_key") <= 1
+    both = state.row_versions(events, ["key"], ["v"], {"now": F.lit(True), "then": bound})
+    now, then = (df.select("key", "v") for df in (state.replay_state(events, ["key"]), state.state_as_of(events, ["key"], bound)))
+    assert rows_of(both.where("now is not null").select("key", "now.v")) == rows_of(now)
+    assert rows_of(both.where("then is not null").select("key", "then.v")) == rows_of(then)
+    assert rows_of(diff.version_diff(both, ["key"], "now", "then")) == rows_of(diff.snapshot_diff(now, then, ["key"]))
+    assert both.where("now is null and then is null").count() == 0
+
+
 def test_replay_equals_final_state(spark, sf_dir):
     """Replay of the feed without damage is the last event of each user."""
     feed = plan_feed.pack(plan_feed.row_changes(spark, sf_dir, width=64), damaged=False)
