@@ -6,6 +6,7 @@ every BIGINT is epoch milliseconds, and a time-like column name turns numbers in
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
@@ -113,12 +114,8 @@ def _type_name(data_type: T.DataType) -> str:
 
 
 def _is_time_name(name: str) -> bool:
-    lower = name.lower()
-    return (
-        any(part in lower for part in ("time", "date", "timestamp"))
-        or lower.endswith(("_at", "_on"))
-        or lower in ("created", "updated", "modified")
-    )
+    # Python writes \Z for the end of text where Spark writes \z
+    return re.search(instants.TIME_NAME_PATTERN.replace(r"\z", r"\Z"), name.lower()) is not None
 
 
 def normalize_column(
@@ -156,40 +153,77 @@ def normalize_frame(
 def _image_decimal(value: Column) -> Column:
     """A JSON number that is no plain integer. Its scale is that of its text, not of a declared column.
 
-    Up to 15 characters always fit a double; longer ones are compared digit by digit.
+    Up to 15 characters always fit a double; longer ones are compared digit by digit, whatever their length.
     """
     digits = value.cast("string")
     double = value.try_cast("double")
-    significant = F.length(F.regexp_replace(F.regexp_replace(digits, r"[-.]", ""), r"\A0+", ""))
-    exact = double.cast("string").try_cast("decimal(38,18)") == digits.try_cast("decimal(38,18)")
     whole = digits.try_cast("bigint")
     has_point, short = digits.contains("."), F.length(digits) <= 15
     return (
         F.when(has_point & short, double.cast("variant"))
         .when(~has_point & whole.between(-numbers.MAX_SAFE_INTEGER, numbers.MAX_SAFE_INTEGER), whole.cast("variant"))
-        .when((significant <= 15) | F.coalesce(exact, F.lit(False)), double.cast("variant"))
+        .when(numbers.same_number(double.cast("string"), digits), double.cast("variant"))
         .otherwise(digits.cast("variant"))
     )
 
 
-def normalize_image(image: Column, epoch_units: Mapping[str, str] | None = None) -> Column:
-    """Normalize the fields of a VARIANT row image (typed rules; JSON keeps no wider type than this).
+# kinds of values that a VARIANT tells apart, and the Spark type that their normalizer is registered for
+_IMAGE_KINDS: dict[str, tuple[str, T.DataType]] = {
+    "BIGINT": ("bigint", T.LongType()),
+    "STRING": ("string", T.StringType()),
+    "DOUBLE": ("double", T.DoubleType()),
+    "FLOAT": ("float", T.FloatType()),
+    "BOOLEAN": ("boolean", T.BooleanType()),
+    "DATE": ("date", T.DateType()),
+    "TIMESTAMP": ("timestamp", T.TimestampType()),
+    "TIMESTAMP_NTZ": ("timestamp_ntz", T.TimestampNTZType()),
+    "BINARY": ("binary", T.BinaryType()),
+}
+
+
+def _image_value(name: Column, value: Column, type_name: str, data_type: T.DataType, mode: str) -> Column | None:
+    """A value of one kind through the normalizer of its type; None where that changes nothing."""
+    normalizer, typed = _NORMALIZERS.get(type_name, _keep), value.try_cast(type_name)
+    plain, timed = (normalizer(typed, Field("", data_type, mode, None, flag)) for flag in (False, True))
+    if plain is typed and timed is typed:
+        return None
+    if mode == "typed" and type_name != "string":  # names count for text only
+        return plain.cast("variant")
+    return F.when(instants.is_time_name(name), timed.cast("variant")).otherwise(plain.cast("variant"))
 
-    A NULL image stays NULL, so an absent image is never taken for an empty row.
+
+def normalize_image(
+    image: Column, epoch_units: Mapping[str, str] | None = None, mode: str = "typed", types: Mapping[str, str] | None = None
+) -> Column:
+    """Normalize the fields of a VARIANT row image, each by the kind of its value, with the normalizers that columns have.
+
+    A JSON number does not tell INT from BIGINT: in ``compat`` mode, where it matters, ``types`` names the columns that are narrower (``{"age": "int"}``).
+    A NULL image stays NULL, so an absent image is never taken for an empty row. Objects and arrays pass unchanged.
     """
-    units = dict(epoch_units or {})
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}: {mode!r}")
+    narrow = [column for column, type_name in (types or {}).items() if type_name in ("int", "smallint", "tinyint")]
 
     def one(name: Column, value: Column) -> Column:
         kind = F.schema_of_variant(value)
         as_text = value.try_cast("string")
-        parsed = instants.parse_time_string(as_text, spaced=True, any_integer=False)
-        result = F.when(kind.startswith("DECIMAL"), _image_decimal(value)).when(
-            (kind == "STRING") & instants.is_time_name(name), F.coalesce(parsed, as_text).cast("variant")
-        )
-        for column, unit in units.items():
-            iso = instants.epoch_to_iso(value.try_cast("bigint"), unit)
-            result = result.when((kind == "BIGINT") & (name == column), F.coalesce(iso, as_text).cast("variant"))
-        return result.otherwise(value)
+        result = F.when(kind.isNull() | (kind == "VOID"), value)
+        if mode == "typed":
+            for column, unit in (epoch_units or {}).items():
+                iso = instants.epoch_to_iso(value.try_cast("bigint"), unit)
+                result = result.when((kind == "BIGINT") & (name == column), F.coalesce(iso, as_text).cast("variant"))
+        elif narrow:
+            small = _image_value(name, value, "int", T.IntegerType(), mode)
+            result = result.when((kind == "BIGINT") & name.isin(narrow), value if small is None else small)
+        for variant_kind, (type_name, data_type) in _IMAGE_KINDS.items():
+            changed = _image_value(name, value, type_name, data_type, mode)
+            if changed is not None:
+                result = result.when(kind == variant_kind, changed)
+        own = _NORMALIZERS["decimal"]
+        decimal = _image_decimal(value) if own is _decimal else own(value.try_cast("decimal(38,18)"), Field("", T.DecimalType(38, 18), mode)).cast("variant")
+        if mode == "compat":
+            decimal = F.when(instants.is_time_name(name), as_text.cast("variant")).otherwise(decimal)
+        return result.when(kind.startswith("DECIMAL"), decimal).otherwise(value)
 
     fields = image.try_cast("map<string,variant>")
     return F.to_variant_object(F.transform_values(fields, one))

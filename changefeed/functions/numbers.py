@@ -30,6 +30,21 @@ def _as_double(value: Column, scale: int) -> Column:
     return F.when(always, double).when(shortest == value, double)
 
 
+def _significand(text: Column) -> Column:
+    """The digits of a number written in text, without zeros at the ends, and the power of ten of the first of them; equal for equal numbers of any length."""
+    part = [F.regexp_extract(text, r"\A[+-]?([0-9]*)\.?([0-9]*)(?:[eE]\+?(-?[0-9]+))?\z", i) for i in (1, 2, 3)]
+    digits = F.concat(part[0], part[1])
+    plain = F.regexp_replace(digits, r"\A0+", "")
+    power = F.length(part[0]) - (F.length(digits) - F.length(plain)) + F.coalesce(part[2].try_cast("int"), F.lit(0))
+    return F.struct(F.regexp_replace(plain, r"0+\z", "").alias("digits"), F.when(plain != "", power).otherwise(0).alias("power"))
+
+
+def same_number(a: Column, b: Column) -> Column:
+    """Whether two texts write the same number, digit by digit, however many they have."""
+    zero = (_significand(a)["digits"] == "") & (_significand(b)["digits"] == "")
+    return zero | ((_significand(a) == _significand(b)) & (a.startswith("-") == b.startswith("-")))
+
+
 def decimal_kind(value: Column, scale: int) -> Column:
     """'long', 'double' or 'string' for DECIMAL(p, ``scale``)."""
     return (

@@ -113,7 +113,7 @@ def image_fields(image: Column) -> Column:
 # Entries of an offset that order positions. JSON text is not taken for a time or a sequence here; a place in the log may be written as text.
 KEY_SCHEMA = (
     "`timestamp` BIGINT, ts_ms BIGINT, sequence BIGINT, event BIGINT, file STRING, lsn STRING, pos STRING, scn STRING, "
-    "change_lsn STRING, commit_lsn STRING, event_serial_no BIGINT"
+    "change_lsn STRING, commit_lsn STRING, event_serial_no BIGINT, `offset` BIGINT"
 )
 
 
@@ -138,7 +138,7 @@ def position_struct(partition: Column, entries: Column, keys: Column) -> Column:
         F.coalesce(keys["timestamp"], keys["ts_ms"]).alias("ts_key"),
         F.coalesce(keys["sequence"], keys["event"]).alias("seq_key"),
         F.coalesce(keys["file"], F.nullif(F.concat_ws("/", keys["commit_lsn"], keys["change_lsn"]), F.lit("")), *texts).alias("log_file"),
-        F.coalesce(*(p.try_cast("bigint") for p in places), keys["event_serial_no"]).alias("log_key"),
+        F.coalesce(*(p.try_cast("bigint") for p in places), keys["event_serial_no"], keys["offset"]).alias("log_key"),
     )
 
 

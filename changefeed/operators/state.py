@@ -69,8 +69,8 @@ def dedupe(events: DataFrame) -> DataFrame:
     return events.dropDuplicates(["event_id"])
 
 
-def transaction_groups(events: DataFrame, tx_field: str = "txId") -> DataFrame:
-    """Events of one transaction: number, first and last position."""
+def transaction_groups(events: DataFrame, tx_field: str = "txId", *more: Column) -> DataFrame:
+    """Events of one transaction: number, first and last position, and further aggregates. See ``streaming.transactions`` for a stream."""
     at = sort_key()
     return (
         events.withColumn("tx_id", F.try_variant_get("position.offset", f"$.{tx_field}", "bigint"))
@@ -80,6 +80,7 @@ def transaction_groups(events: DataFrame, tx_field: str = "txId") -> DataFrame:
             F.count("*").alias("n_events"),
             F.min_by("position", at).alias("first_position"),
             F.max_by("position", at).alias("last_position"),
+            *more,
         )
     )
 

@@ -92,5 +92,5 @@ def validate_wire(messages: DataFrame, value: str = "value") -> DataFrame:
 
 
 def to_messages(routed: DataFrame) -> DataFrame:
-    """Routed events as ``topic``, ``key``, ``value``: the row contract of a Kafka sink."""
-    return routed.select("topic", "key", to_wire_json().alias("value"))
+    """Routed events as ``topic``, ``key``, ``value``, the row contract of a Kafka sink, with ``event_id`` and ``position``, by which a sink orders them."""
+    return routed.select("topic", "key", to_wire_json().alias("value"), "event_id", "position")

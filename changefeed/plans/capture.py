@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changefeed.functions.instants import iso_instant
-from changefeed.operators import envelope, routing, rules, state, validate, wire
+from changefeed.operators import envelope, positions, routing, rules, state, validate, wire
 from changefeed.plans import pipeline
-from changefeed.plans.feed import FEED_SQL, change_feed, iso_ms_sql, iso_us_sql, table
+from changefeed.plans.feed import FEED_SQL, change_feed, iso_ms_sql, iso_us_sql, pack, row_changes, table
 from changefeed.plans.registry import query
 from changefeed.session import work_dir
 from changefeed.sources import changelog, sinks
@@ -458,3 +458,25 @@ def valid_identifier(spark, sf_dir):
 def rules_join(spark, sf_dir):
     joined = rules.join_rules(events(spark, sf_dir), rule_table(spark, RULES_V2))
     return routing.route(joined).select(lsn(), "fqn", "include_mode", "topic")
+
+
+@query("kafka_feed_identity", FEED_SQL + """SELECT lsn, operation, '{topic=changes.' || table_name || ', partition=' || (key_id % 4) || '}' AS source_partition,
+    lsn AS place, '{"id":' || key_id || '}' AS record_key, lsn > max(lsn) FILTER (lsn % 10 < 7) OVER (PARTITION BY table_name, key_id % 4) AS is_later
+    FROM a WHERE reason IS NULL OR reason = 'EMPTY_OFFSET'""")
+def kafka_feed_identity(spark, sf_dir):
+    """The feed as rows of the Kafka source: topic, partition and offset are identity and position, the key is kept; later are events after those of seven
+    in ten that were read before. A record without a place of its own has one in Kafka."""
+    changes = row_changes(spark, sf_dir)
+    packed = pack(changes.select("*")).withColumn("lsn", raw_lsn())
+    keyed = changes.select("lsn", F.to_json(F.struct(F.col("key_id").alias("id"))).cast("binary").alias("key"), "table_name", (F.col("key_id") % 4).cast("int").alias("partition"))
+    rows = packed.join(keyed, "lsn").select(
+        "key", F.col("value").cast("binary").alias("value"), F.concat(F.lit("changes."), "table_name").alias("topic"), "partition", F.col("lsn").alias("offset"),
+        F.current_timestamp().alias("timestamp"), F.lit(0).alias("timestampType"),
+    )
+    decoded = envelope.to_canonical(changelog.from_kafka(rows)).where(F.col("reject_reason").isNull())
+    read = positions.latest_positions(decoded.where("position.log_key % 10 < 7"))
+    later = positions.is_after(F.col("position"), F.col("saved"))
+    return positions.with_saved_position(decoded, read).select(
+        F.col("position.log_key").alias("lsn"), "operation", "position.source_partition", F.try_variant_get("position.offset", "$.offset", "bigint").alias("place"),
+        "record_key", later.alias("is_later"),
+    )

@@ -13,16 +13,17 @@ from changefeed.operators import envelope, routing, rules, wire
 
 
 class Outputs(NamedTuple):
-    """``messages`` (topic, key, value), ``rejected`` and the accepted ``events`` behind the messages."""
+    """``messages`` (topic, key, value), ``rejected``, the accepted ``events`` behind the messages, and ``publishable``, the messages with what orders them."""
 
     messages: DataFrame
     rejected: DataFrame
     events: DataFrame
+    publishable: DataFrame
 
 
-def normalize_events(events: DataFrame, epoch_units: Mapping[str, str] | None = None) -> DataFrame:
+def normalize_events(events: DataFrame, epoch_units: Mapping[str, str] | None = None, mode: str = "typed", types: Mapping[str, str] | None = None) -> DataFrame:
     return events.withColumns(
-        {side: normalize_image(F.col(side), epoch_units) for side in ("before", "after")}
+        {side: normalize_image(F.col(side), epoch_units, mode, types) for side in ("before", "after")}
     )
 
 
@@ -32,12 +33,14 @@ def select_and_route(
     normalize: bool = True,
     epoch_units: Mapping[str, str] | None = None,
     topic_pattern: str = routing.DEFAULT_PATTERN,
+    mode: str = "typed",
+    types: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Accepted events with their topic, key and, under rules, only the wanted tables and columns."""
+    """Accepted events with their topic, key and, under rules, only the wanted tables and columns. ``mode`` and ``types`` are those of ``normalize_image``."""
     if rule_table is not None:
         events = rules.exclude_columns(rules.join_rules(events, rule_table))
     if normalize:
-        events = normalize_events(events, epoch_units)
+        events = normalize_events(events, epoch_units, mode, types)
     return routing.route(events, topic_pattern)
 
 
@@ -46,14 +49,16 @@ def run(canonical: DataFrame, rule_table: DataFrame | None = None, **options) ->
 
     An event whose topic name is not valid is rejected as ``INVALID_TOPIC``.
     """
-    events = envelope.accepted(canonical)
-    # the record as it came goes with its event, for the case that it cannot be routed
+    # the record as it came and its event as it was decoded go along: the one for the case that it cannot be routed, the other that it can
     given = [c for c in canonical.columns if c not in (*envelope.CANONICAL_COLUMNS, "reject_reason")]
-    sound = canonical.where(F.col("reject_reason").isNull()).select(*envelope.CANONICAL_COLUMNS, F.struct(*given).alias("_given"))
+    sound = canonical.where(F.col("reject_reason").isNull()).select(
+        *envelope.CANONICAL_COLUMNS, F.struct(*given).alias("_given"), F.struct(*envelope.CANONICAL_COLUMNS).alias("_event")
+    )
     routed = select_and_route(sound, rule_table, **options)
-    messages = wire.to_messages(routed.where(F.col("topic_problem").isNull()))
+    published = routed.where(F.col("topic_problem").isNull())
     unroutable = routed.where(F.col("topic_problem").isNotNull()).select(
         "_given.*", F.lit("INVALID_TOPIC").alias("reject_reason")
     )
     rejected = envelope.rejected(canonical).unionByName(unroutable, allowMissingColumns=True)
-    return Outputs(messages, rejected, events)
+    publishable = wire.to_messages(published)
+    return Outputs(publishable.select("topic", "key", "value"), rejected, published.select("_event.*"), publishable)

@@ -41,7 +41,7 @@ def position_order(spark, sf_dir):
 def saved_at_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions as a run that stopped at the cut has stored them."""
     out = work_dir(spark, "positions")
-    sinks.save_positions(events(spark, sf_dir).where(before_cut()), out, 0)
+    sinks.save_positions(events(spark, sf_dir).where(before_cut()), out)
     return sinks.load_positions(spark, out)
 
 
@@ -65,8 +65,8 @@ def positions_latest(spark, sf_dir):
     """Saved in two batches, then loaded: the later batch replaces the earlier."""
     out = work_dir(spark, "positions")
     feed = events(spark, sf_dir)
-    sinks.save_positions(feed.where(before_cut()), out, 0)
-    sinks.save_positions(feed.where(~before_cut()), out, 1)
+    sinks.save_positions(feed.where(before_cut()), out)
+    sinks.save_positions(feed.where(~before_cut()), out)
     return sinks.load_positions(spark, out).select("source_partition", F.col("position.ts_key").alias("ts_key"), lsn())
 
 
@@ -104,7 +104,7 @@ def lsn_of_place():
 def resume_by_log_place(spark, sf_dir):
     """Resume where positions have no time: by file, then by place in it. log.9 comes before log.10."""
     placed, out = log_place_events(spark, sf_dir), work_dir(spark, "positions")
-    sinks.save_positions(placed.where(before_cut()), out, 0)
+    sinks.save_positions(placed.where(before_cut()), out)
     return positions.resume_after(placed, sinks.load_positions(spark, out)).select(lsn_of_place(), "operation")
 
 

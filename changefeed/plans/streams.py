@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from changefeed.functions.instants import iso_instant
@@ -11,8 +12,8 @@ from changefeed.plans.registry import query
 from changefeed.plans.reports import _COUNTS_SQL, CAPTURE_SQL, show_capture
 from changefeed.plans.rows import CUT_MS
 from changefeed.session import work_dir
-from changefeed.sources import changelog
-from changefeed.streaming import ingest, live_metrics
+from changefeed.sources import changelog, sinks
+from changefeed.streaming import ingest, live_metrics, schemas, transactions
 
 
 def write_feed(feed, path: str, files: int = 4, newest_first: bool = False) -> None:
@@ -86,3 +87,65 @@ def counted_stream(spark, sf_dir, files: int = 6) -> str:
 def stream_capture_metrics(spark, sf_dir):
     """The capture metrics of a stream, percentiles exact, from the histograms of its batches."""
     return show_capture(live_metrics.capture_metrics(spark, counted_stream(spark, sf_dir)))
+
+
+@query("stream_transactions", FEED_SQL + """, t AS (SELECT source_partition, tx_id, count(*) AS n_events, min(ROW(ts_ms, lsn)) AS fst, max(ROW(ts_ms, lsn)) AS lst
+    FROM f GROUP BY source_partition, tx_id)
+    SELECT source_partition, tx_id, n_events, fst[2] AS first_lsn, lst[2] AS last_lsn, lst < max(lst) OVER (PARTITION BY source_partition) AS closed FROM t""")
+def stream_transactions(spark, sf_dir):
+    """Transactions whose events lie in several micro-batches, one file per batch, the newest events first."""
+    feed, out = work_dir(spark, "feed"), work_dir(spark, "transactions")
+    write_feed(change_feed(spark, sf_dir), feed, 5, newest_first=True)
+    transactions.start(changelog.stream_changes(spark, feed, per_trigger=1), out, f"{out}/checkpoint", available_now=True).awaitTermination()
+    return transactions.transactions(spark, out).select(
+        "source_partition", "tx_id", "n_events", F.try_variant_get("first_position.offset", "$.lsn", "bigint").alias("first_lsn"),
+        F.try_variant_get("last_position.offset", "$.lsn", "bigint").alias("last_lsn"), "closed",
+    )
+
+
+DRIFT_STEPS = 4
+
+
+def drifting_feed(spark, sf_dir, step: int):
+    """The events of one in DRIFT_STEPS parts, by log number, as inserts of rows whose columns change: ``channel`` is added in part 1, ``status`` is called
+    ``state`` from part 2 on, and ``amount`` is text from part 3 on."""
+    rows = row_changes(spark, sf_dir).where((F.col("lsn") % DRIFT_STEPS == step) & F.col("after_status").isNotNull())
+    columns = [F.col("key_id").alias("id"), F.col("after_status").alias("status" if step < 2 else "state"), F.col("after_amount").cast("string" if step > 2 else "double").alias("amount")]
+    image = F.struct(*columns, *([F.lit("web").alias("channel")] if step > 0 else []))
+    source = F.struct(F.lit("postgresql").alias("connector"), F.lit("cdcdb").alias("db"), F.col("schema_name").alias("schema"), F.col("table_name").alias("table"), "lsn", F.col("source_ts_ms").alias("ts_ms"))
+    return rows.select(
+        F.to_json(F.struct(F.lit(None).cast("string").alias("before"), image.alias("after"), source.alias("source"), F.lit("c").alias("op"), "ts_ms")).alias("value"),
+        "source_partition", F.to_json(F.struct("lsn", F.col("ts_ms").alias("timestamp"))).alias("source_offset"),
+    )
+
+
+@query("stream_drift", FEED_SQL + f""", parts AS (SELECT DISTINCT fqn, lsn % {DRIFT_STEPS} AS part FROM a WHERE after_status IS NOT NULL),
+    steps AS (SELECT fqn, part, lag(part) OVER (PARTITION BY fqn ORDER BY part) AS earlier FROM parts)
+    SELECT fqn, part::BIGINT AS batch_id, 'COLUMN_ADDED' AS change, 'channel' AS "column", NULL AS new_name, NULL AS old_type, 'STRING' AS new_type
+      FROM steps WHERE earlier < 1 AND part >= 1
+    UNION ALL SELECT fqn, part, 'COLUMN_RENAMED', 'status', 'state', NULL, NULL FROM steps WHERE earlier < 2 AND part >= 2
+    UNION ALL SELECT fqn, part, 'TYPE_CHANGED', 'amount', NULL, 'NUMBER', 'STRING' FROM steps WHERE earlier < 3 AND part >= 3""")
+def stream_drift(spark, sf_dir):
+    """Schema changes that capture finds while it runs, batch by batch, against the registry that it keeps."""
+    feed, out = work_dir(spark, "feed"), work_dir(spark, "capture")
+    for step in range(DRIFT_STEPS):
+        drifting_feed(spark, sf_dir, step).coalesce(1).write.mode("append").parquet(feed)
+        stream = changelog.stream_changes(spark, feed)
+        ingest.start_capture(stream, out, f"{out}/checkpoint", track_schemas=True, available_now=True).awaitTermination()
+    return schemas.schema_changes(spark, f"{out}/schema_changes").select("fqn", "batch_id", "change", "column", "new_name", "old_type", "new_type")
+
+
+@query("stream_in_order", FEED_SQL + "SELECT fqn, lsn, row_number() OVER (PARTITION BY fqn, source_partition ORDER BY ts_ms, lsn) AS place FROM f")
+def stream_in_order(spark, sf_dir):
+    """Capture into a sink that numbers what it is given: the messages of a key come in log order, source by source, from one task each."""
+    feed, out = work_dir(spark, "feed"), work_dir(spark, "sent")
+    write_feed(change_feed(spark, sf_dir), feed, 1)
+
+    def number(messages, batch_id: int) -> None:
+        sent = sinks.in_key_order(messages).select("key", "position", F.monotonically_increasing_id().alias("at"))
+        sent.write.mode("overwrite").parquet(f"{out}/messages/batch_id={batch_id}")
+
+    ingest.start_capture(changelog.stream_changes(spark, feed), out, f"{out}/checkpoint", sink=number, available_now=True).awaitTermination()
+    sent = spark.read.parquet(f"{out}/messages")
+    placed = F.row_number().over(Window.partitionBy("key", "position.source_partition").orderBy("at"))
+    return sent.select(F.col("key").alias("fqn"), F.try_variant_get("position.offset", "$.lsn", "bigint").alias("lsn"), placed.cast("bigint").alias("place"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from changefeed.functions import instants, numbers, text
+from changefeed.functions import instants, normalize, numbers, text
 from changefeed.functions.normalize import normalize_frame
 from changefeed.plans.feed import iso_ms_sql, iso_us_sql, table
 from changefeed.plans.registry import query
@@ -303,3 +303,45 @@ def normalize_row_typed(spark, sf_dir):
     coalesce({_PARSED_SQL}, {_WAYS_SQL}) AS created_at, coalesce({_PARSED_SQL}, {_WAYS_SQL}) AS phone FROM events""")
 def normalize_row_compat(spark, sf_dir):
     return _flat(normalize_frame(_typed_row(spark, sf_dir), "compat", keep=("event_id",)))
+
+
+def _image_columns(image):
+    """The fields of a normalized image of ``_typed_row`` as columns."""
+    kinds = {
+        "seen": "string", "day": "string", "changed_ms": "string", "update_count": "string", "small": "int", "total": "double", "total_time": "string",
+        "active": "boolean", "is_updated": "string", "created_at": "string", "phone": "string", "raw": "string",
+    }
+    special = F.schema_of_variant(F.try_variant_get(image, "$.ratio", "variant")) == "STRING"
+    return [F.try_variant_get(image, f"$.{name}", kind).alias(name) for name, kind in kinds.items()] + [
+        F.when(special, F.try_variant_get(image, "$.ratio", "string")).alias("ratio_text"),
+        F.when(~special, F.try_variant_get(image, "$.ratio", "double")).alias("ratio"),
+    ]
+
+
+def _normalized_images(spark, sf_dir, *args, **options):
+    rows = _typed_row(spark, sf_dir)
+    packed = rows.select("event_id", F.to_variant_object(F.struct(*[c for c in rows.columns if c != "event_id"])).alias("image"))
+    done = packed.select("event_id", F.explode(F.array(normalize.normalize_image(F.col("image"), *args, **options))).alias("image"))
+    return done.select("event_id", *_image_columns(F.col("image")))
+
+
+# the text of an image's decimal has no zeros at its end
+_TRIMMED_SQL = "regexp_replace(regexp_replace(CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR), '0+$', ''), '[.]$', '')"
+
+
+@query("normalize_image_typed", _ROW_SQL + f"""{iso_ms_sql('epoch_us(ts) // 1000')} AS changed_ms, CAST(user_id % 100 AS VARCHAR) AS update_count,
+    CASE WHEN CAST(value AS DECIMAL(18,2)) = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR)
+      ELSE {_TRIMMED_SQL} END AS total_time, CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END AS is_updated,
+    CASE event_id % 8 WHEN 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') ELSE coalesce({_PARSED_SQL}, {_WAYS_SQL}) END AS created_at,
+    {_WAYS_SQL} AS phone FROM events""")
+def normalize_image_typed(spark, sf_dir):
+    """The rows of ``normalize_row_typed`` as VARIANT images; every value goes by its own kind."""
+    return _normalized_images(spark, sf_dir, {"changed_ms": "ms"})
+
+
+@query("normalize_image_compat", _ROW_SQL + f"""{iso_ms_sql('epoch_us(ts) // 1000')} AS changed_ms, CAST(user_id % 100 AS VARCHAR) AS update_count,
+    {_TRIMMED_SQL} AS total_time, CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END AS is_updated,
+    coalesce({_PARSED_SQL}, {_WAYS_SQL}) AS created_at, coalesce({_PARSED_SQL}, {_WAYS_SQL}) AS phone FROM events""")
+def normalize_image_compat(spark, sf_dir):
+    """The same under the older guesses: whole numbers are times unless they are declared narrower, time-like names make text."""
+    return _normalized_images(spark, sf_dir, mode="compat", types={"small": "int", "update_count": "int"})

@@ -19,8 +19,19 @@ FEED_SCHEMA = "value STRING, source_partition STRING, source_offset STRING"
 FILE_FORMATS = ("parquet", "orc", "json", "text")
 
 
-def _kafka_feed(df: DataFrame) -> DataFrame:
-    return df.select(F.col("value").cast("string").alias("value"))
+def from_kafka(df: DataFrame) -> DataFrame:
+    """Rows of the Kafka source (key, value, topic, partition, offset, ...) as a feed, with the record's key as text in ``record_key``.
+
+    A record's identity and position are its coordinates: a partition of a topic is a source of its own, in which the offset gives the order. The place that
+    the source database gave stays in the envelope.
+    """
+    place = F.struct(F.col("topic"), F.col("partition"), F.col("offset"))
+    return df.select(
+        F.col("value").cast("string").alias("value"),
+        F.concat(F.lit("{topic="), F.col("topic"), F.lit(", partition="), F.col("partition").cast("string"), F.lit("}")).alias("source_partition"),
+        F.to_json(place).alias("source_offset"),
+        F.col("key").cast("string").alias("record_key"),
+    )
 
 
 def read_changes(
@@ -30,7 +41,7 @@ def read_changes(
     ``kafka`` takes its options (and needs its connector on the class path)."""
     reader = spark.read.options(**(options or {}))
     if source == "kafka":
-        return _kafka_feed(reader.format("kafka").load())
+        return from_kafka(reader.format("kafka").load())
     if source not in FILE_FORMATS:
         raise ValueError(f"source must be kafka or one of {FILE_FORMATS}: {source!r}")
     if source == "text":
@@ -50,7 +61,7 @@ def stream_changes(
     if source == "kafka":
         if per_trigger:
             reader = reader.option("maxOffsetsPerTrigger", per_trigger)
-        return _kafka_feed(reader.format("kafka").load())
+        return from_kafka(reader.format("kafka").load())
     if source not in FILE_FORMATS:
         raise ValueError(f"source must be kafka or one of {FILE_FORMATS}: {source!r}")
     if per_trigger:

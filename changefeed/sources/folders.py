@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -144,7 +145,10 @@ def merge_runs(
         if (level, first) not in runs:
             parts = [r for r in covering(runs, batch_id) if r[1] >= first]
             if parts:
-                rows = spark.read.schema(schema).parquet(*(run_path(path, *r) for r in parts))
+                read = spark.read.schema(schema)
+                paths = [run_path(path, *r) for r in parts]
+                # folders of columns are found below one root at a time
+                rows = reduce(DataFrame.union, [read.parquet(p) for p in paths]) if partition_by else read.parquet(*paths)
                 merge(rows).write.mode("overwrite").partitionBy(*partition_by).parquet(run_path(path, level, first))
         for old in range(max(0, first - size), first, part):
             if (level - 1, old) in runs:

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from changefeed.operators import envelope
+from changefeed.operators.skew import broadcast_if_small
 from changefeed.plans import pipeline
 from changefeed.sources import sinks
+from changefeed.sources.sinks import Sink
+from changefeed.streaming import ids, schemas
 
 log = logging.getLogger(__name__)
 
@@ -21,7 +24,7 @@ RuleLoader = Callable[[], DataFrame | None]
 
 
 def unseen(canonical: DataFrame, seen: str, batch_id: int) -> DataFrame:
-    """The batch without copies of accepted events, in it or from earlier batches, whose ids are stored under ``seen``.
+    """The batch without copies of accepted events, in it or from earlier batches, whose ids are stored under ``seen`` (see ``streaming.ids``).
 
     No event time is involved, so a late event is never lost. Rejected records and tombstones stay. The ids of the batch itself,
     from a run that failed, are not looked at: a batch that runs again gives the same rows.
@@ -29,33 +32,50 @@ def unseen(canonical: DataFrame, seen: str, batch_id: int) -> DataFrame:
     sound = F.col("reject_reason").isNull()
     once = canonical.where(sound).dropDuplicates(["event_id"])
     if batch_id > 0:
-        earlier = canonical.sparkSession.read.parquet(seen).where(F.col("batch_id") < batch_id).select("event_id")
-        once = once.join(earlier, "event_id", "left_anti")
+        known = ids.stored(once.select("event_id"), seen, batch_id)
+        once = once.join(broadcast_if_small(known), "event_id", "left_anti").select(*canonical.columns)
     return once.unionByName(canonical.where(~sound))
 
 
 def capture_batch(
-    canonical: DataFrame, batch_id: int, out: str, load_rules: RuleLoader | None = None, dedupe: bool = False, **options
+    canonical: DataFrame,
+    batch_id: int,
+    out: str,
+    load_rules: RuleLoader | None = None,
+    dedupe: bool = False,
+    sink: Sink | None = None,
+    track_schemas: bool = False,
+    **options,
 ) -> None:
-    """Publish, then store rejects, then save positions, all under the batch's own folders. With ``dedupe`` every event is published once.
+    """Publish through ``sink`` (files by topic under ``out``, if none is given), then store rejects and schema changes, then save positions.
 
-    A batch that runs again after a failure overwrites what it wrote before.
+    All that is stored lies under the batch's own folders or versions. With ``dedupe`` every event is published once. With
+    ``track_schemas`` the batch's schemas are compared with the registered ones and registered. A batch that runs again after a failure
+    replaces what it wrote before, and gives a sink the same messages in the same order.
     """
-    held = (unseen(canonical, f"{out}/seen", batch_id) if dedupe else canonical).persist()
+    source = canonical.persist()
+    held = (unseen(source, f"{out}/seen", batch_id) if dedupe else source).persist()
     try:
         rule_table = load_rules() if load_rules else None
         outputs = pipeline.run(held, rule_table, **options)
-        sinks.write_by_topic(outputs.messages, f"{out}/messages/batch_id={batch_id}")
+        publishable = outputs.publishable.persist()
+        try:
+            (sink or sinks.file_sink(f"{out}/messages"))(publishable, batch_id)
+        finally:
+            publishable.unpersist()
         sinks.write_rejected(outputs.rejected, f"{out}/rejected/batch_id={batch_id}")
+        events = envelope.accepted(held)
+        if track_schemas:
+            schemas.detect_and_register(events, batch_id, f"{out}/schemas", f"{out}/schema_changes")
         if dedupe:
-            ids = held.where(F.col("reject_reason").isNull()).select("event_id")
-            ids.write.mode("overwrite").parquet(f"{out}/seen/batch_id={batch_id}")
+            ids.store(events.select("event_id"), f"{out}/seen", batch_id)
         try:
-            sinks.save_positions(outputs.events, f"{out}/positions", batch_id)
+            sinks.save_positions(events, f"{out}/positions")
         except Exception:  # the events are out; the checkpoint still resumes the stream
             log.warning("positions of batch %s were not saved", batch_id, exc_info=True)
     finally:
         held.unpersist()
+        source.unpersist()
 
 
 def start_capture(
@@ -65,16 +85,19 @@ def start_capture(
     load_rules: RuleLoader | None = None,
     dedupe: bool = False,
     available_now: bool = False,
+    sink: Sink | None = None,
+    track_schemas: bool = False,
     **options,
 ) -> StreamingQuery:
-    """Start capture of a feed stream into files under ``out``.
+    """Start capture of a feed stream into ``sink``, or into files under ``out``.
 
     ``load_rules`` is called for every batch, so changed rules apply without a restart. With ``dedupe`` copies of an event
-    are published once, however late they come. With ``available_now`` the query ends when it has read what is there.
+    are published once, however late they come. ``sink`` is a function of a batch's messages and number, such as ``sinks.kafka_sink(servers)``.
+    With ``available_now`` the query ends when it has read what is there.
     """
     canonical = envelope.to_canonical(changes)
     writer = canonical.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: capture_batch(batch, batch_id, out, load_rules, dedupe, **options)
+        lambda batch, batch_id: capture_batch(batch, batch_id, out, load_rules, dedupe, sink, track_schemas, **options)
     )
     trigger = {"availableNow": True} if available_now else {"processingTime": FLUSH_INTERVAL}
     return writer.trigger(**trigger).start()

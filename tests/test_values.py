@@ -213,3 +213,40 @@ def test_image(spark):
         **image, "price": 12.5, "long": "123456789.123456789012", "big": "12345678901234567890",
         "created_at": "2025-11-01T08:30:00Z", "ts": "2025-11-03T06:25:07.179Z",
     }
+
+
+@pytest.mark.parametrize("a, b, same", [
+    ("1.0E20", "100000000000000000000", True), ("0.1", "0.10", True), ("-0.5", "0.5", False), ("1.0E-7", "0.0000001", True), ("0.0", "0", True), ("-0.0", "0", True),
+    ("1.2345678901234567E25", "12345678901234567000000000", True), ("1.2345678901234567E25", "12345678901234567000000001", False), ("120", "12", False),
+    ("12345678901234567890123456789012345678", "12345678901234567890123456789012345678", True),
+])
+def test_same_number(spark, a, b, same):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert df.select(numbers.same_number(F.col("a"), F.col("b"))).first()[0] is same
+
+
+@pytest.mark.parametrize("written, kept", [
+    ("100000000000000000000", 1.0e20), ("100000000000000000001", "100000000000000000001"), ("9007199254740993", 9007199254740993), ("0.1", 0.1),
+    ("12345678901234567890.5", "12345678901234567890.5"), ("1e3", 1000.0), ("123456789012345678901234567890", "123456789012345678901234567890"), ("-200000000000000000000", -2.0e20),
+])
+def test_image_numbers_are_exact(spark, written, kept):
+    df = spark.createDataFrame([(f'{{"v": {written}}}',)], "j string")
+    assert json.loads(df.select(F.to_json(normalize.normalize_image(F.parse_json("j")))).first()[0])["v"] == kept
+
+
+def test_image_compat(spark):
+    """Every kind of value under the older guesses, and a normalizer of one's own."""
+    image = {"n": 1762151107000, "age": 41, "updated": 41, "price": 12.5, "price_date": 12.5, "ok": True, "ok_on": True, "when": "2025-11-03T06:25:07Z", "none": None, "sub": {"a": 1}, "list": [1]}
+    df = spark.createDataFrame([(json.dumps(image),)], "j string")
+    changed = normalize.normalize_image(F.parse_json("j"), mode="compat", types={"age": "int", "updated": "int"})
+    assert json.loads(df.select(F.to_json(changed)).first()[0]) == {
+        **image, "n": "2025-11-03T06:25:07Z", "updated": "41", "price_date": "12.5", "ok_on": "true",
+    }
+    before = normalize._NORMALIZERS["boolean"]
+    normalize.register_normalizer("boolean", lambda value, field: F.when(value, F.lit("yes")).otherwise(F.lit("no")))
+    try:
+        assert json.loads(df.select(F.to_json(normalize.normalize_image(F.parse_json("j")))).first()[0])["ok"] == "yes"
+    finally:
+        normalize.register_normalizer("boolean", before)
+    with pytest.raises(ValueError):
+        normalize.normalize_image(F.parse_json("j"), mode="other")
