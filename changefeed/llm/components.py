@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changefeed.session import written
+from changefeed.session import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,6 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     both = links.where("a is not null and b is not null").select("a", "b")
     both = written(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("component")), "labels")
+    last = labels
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("to"))
@@ -25,6 +26,8 @@ def components(links: DataFrame) -> DataFrame:
         after = written(
             step.join(jump, "to", "left").select("node", "was", F.least("to", "beyond").alias("component")), "labels"
         )
-        labels = after.select("node", "component")
+        discard(last)
+        labels, last = after.select("node", "component"), after
         if not after.where("was != component").limit(1).count():
+            discard(both)
             return labels
