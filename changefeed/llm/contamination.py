@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changefeed.llm.arrays import Rolling, flat_text, sliced, word_hashes, word_spans
+from changefeed.llm.arrays import Spans, flat_text, sliced, word_hashes, word_spans
 from changefeed.operators.skew import broadcast_if_small
 from changefeed.session import written
 
@@ -39,7 +39,7 @@ def shingles(texts: pa.Array, sizes: list[int]) -> list[tuple[int, np.ndarray, n
     """For each size: (size, row, hash) of the runs of so many words, row by row."""
     data, offsets = flat_text(pc.utf8_lower(texts))
     starts, ends, limits = word_spans(data, offsets, BETWEEN)
-    rolling = Rolling(word_hashes(data, starts, ends))
+    rolling = Spans(word_hashes(data, starts, ends))
     out = []
     for size in sizes:
         counts = np.maximum(np.diff(limits) - size + 1, 0)

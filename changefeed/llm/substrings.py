@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changefeed.llm.arrays import Rolling, flat_text, ragged, sliced, word_hashes, word_spans
+from changefeed.llm.arrays import Spans, flat_text, ragged, sliced, word_hashes, word_spans
 from changefeed.llm.recompression import recompress
 from changefeed.session import written
 
@@ -38,7 +38,7 @@ def stretches(names: np.ndarray, names2: np.ndarray, limits: np.ndarray, window:
     Equal windows are in stretches of equal key, at the same distance from the symbol.
     """
     s = recompress(names, limits)
-    rolling, rolling2 = Rolling(names), Rolling(names2, 1)
+    rolling, rolling2 = Spans(names), Spans(names2, 1)
     first, last = limits[s.row], limits[s.row + 1] - window  # of the windows of a symbol's row
     low, high = np.maximum(s.high - window, first), np.minimum(s.low, last)
     there = np.flatnonzero((low <= high) & (s.low >= first) & (s.high <= limits[s.row + 1]))
@@ -122,13 +122,14 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 at, offset = np.repeat(begin, number) + ragged(number), ragged(number)
                 who = np.repeat(np.arange(len(number)), number)
                 fields = {f: flat.field(f).to_numpy(zero_copy_only=False)[who] for f in ("key", "content", "weight")}
-                one, two = Rolling(names).spans(at, at + window), Rolling(names2, 1).spans(at, at + window)
+                one, two = Spans(names).spans(at, at + window), Spans(names2, 1).spans(at, at + window)
                 yield _batch(**fields, offset=offset.astype(np.int32), one=one.view(np.int64), two=two.view(np.int64))
 
     tagged = _tagged(docs)
     every = written(tagged.mapInArrow(parse, "doc bigint, tag bigint, first int, number int, weight int, key bigint, content bigint"), "stretches")
+    # what is summed up by key or window is written before it is joined: the join then stands alone in its stage, where a hot key's rows can be split
     keys = every.groupBy("key").agg(F.sum("weight").alias("times"), (F.min("content") == F.max("content")).alias("alike"))
-    found = written(every.join(keys.where("times > 1").drop("times"), "key"), "repeated")
+    found = written(every.join(written(keys.where("times > 1").drop("times"), "repeated-keys"), "key"), "repeated")
     # one document for each different stretch gives its windows
     kinds = found.where("not alike").groupBy("key", "content").agg(F.sum("weight").alias("weight"), F.min(F.struct("doc", "tag", "first", "number")).alias("at"))
     wanted = kinds.groupBy("at.doc", "at.tag").agg(F.collect_list(F.struct("at.first", "at.number", "key", "content", "weight")).alias("wanted"))
@@ -138,8 +139,8 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         .mapInArrow(windows, "key bigint, content bigint, weight bigint, offset int, one bigint, two bigint").distinct(),
         "windows",
     )
-    again = unlike.groupBy("key", "one", "two").agg(F.sum("weight").alias("times")).where("times > 1").drop("times")
-    offsets = unlike.join(again, ["key", "one", "two"]).groupBy("key", "content").agg(F.collect_set("offset").alias("offsets"))
+    again = written(unlike.groupBy("key", "one", "two").agg(F.sum("weight").alias("times")).where("times > 1").drop("times"), "windows-again")
+    offsets = written(unlike.join(again, ["key", "one", "two"]).groupBy("key", "content").agg(F.collect_set("offset").alias("offsets")), "offsets")
     whole = found.where("alike").select("doc", "tag", "first", "number")
     some = found.where("not alike").join(offsets, ["key", "content"]).select("doc", "tag", "first", F.explode("offsets").alias("offset"))
     return whole.unionByName(some.select("doc", "tag", (F.col("first") + F.col("offset")).alias("first"), F.lit(1).alias("number")))
