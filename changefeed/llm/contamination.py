@@ -142,6 +142,7 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = CONTAINMENT) -> Data
 
 def without_leaks(docs: DataFrame, items: DataFrame, share: float = CONTAINMENT) -> DataFrame:
     """The rows of ``docs`` whose text holds no item, with the columns of ``docs``."""
-    found = written(contained(docs, items, share).select(F.col("text_key").alias("_leaked")).distinct(), "leaked")
-    keyed = docs.withColumn("_key", text_key())
-    return keyed.join(broadcast_if_small(found), F.col("_key") == F.col("_leaked"), "left_anti").select(*docs.columns)
+    found = written(contained(docs, items, share).select("text_key").distinct(), "leaked")
+    # the caller's columns are in one struct, so that no name of theirs is taken for one of these
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), text_key().alias("text_key"))
+    return keyed.join(broadcast_if_small(found), "text_key", "left_anti").select("own.*")

@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,33 +37,101 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}}
 VOID = {"hr"}
 
 # dropped with what is in them: those that hold text only, up to the end of the page if not closed, and others, just the tag if not closed
-_RAW = "script|style|textarea|title|iframe"
+RAW = {"script", "style", "textarea", "title", "iframe"}
 DROPPED = {"template", "noscript", "select", "button", "object", "svg"}
 NESTED = {"template", "object", "svg"}  # of these, those that can hold their like
-_EDGE = re.compile(rf"<(/?)({'|'.join(sorted(DROPPED))})(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_EDGE = re.compile(rf"<(/?)({'|'.join(sorted(DROPPED))})(?=[\s/>])", re.I)
+_START = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_STOP = re.compile(r"[>\"']")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role|data-main)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _MAIN = re.compile(r"data-main=\"([01])\"")
 _PART = re.compile(r"[a-z]+")
 
 
-def dropped(html: str) -> dict[int, int]:
+class Tags:
+    """Where tags end. A page is passed over once: what was found to have no end is not looked through again."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {c: html.rfind(c) for c in ">\"'"}
+        self.open_from: list[int] = []  # stretches outside quotes from which no end is reached
+        self.open_to: list[int] = []
+
+    def end(self, start: int) -> int:
+        """The place after the first > from ``start`` on that is in no quotes; -1 without one."""
+        at = bisect_right(self.open_from, start) - 1
+        if at >= 0 and start <= self.open_to[at]:
+            return -1
+        passed, place = [], start
+        while stop := _STOP.search(self.html, place):
+            if stop[0] == ">":
+                return stop.end()
+            passed.append((place, stop.start()))
+            place = self.html.find(stop[0], stop.end()) + 1 if stop.start() < self.last[stop[0]] else 0
+            if not place:
+                break
+        else:
+            passed.append((place, len(self.html)))
+        for low, high in passed:
+            at = bisect_right(self.open_from, low)
+            self.open_from.insert(at, low)
+            self.open_to.insert(at, high)
+        return -1
+
+    def plain_end(self, start: int) -> int:
+        """The place after the next >, quotes or not; 0 without one."""
+        return self.html.find(">", start) + 1 if start <= self.last[">"] else 0
+
+
+class Token(NamedTuple):
+    start: int
+    end: int
+    name: str  # empty for what is no element
+    closing: bool
+    given: str  # attributes
+
+
+def next_token(tags: Tags, place: int) -> Token | None:
+    """The first tag, comment, or element of RAW with what is in it, from ``place`` on; None if there is none."""
+    html = tags.html
+    while mark := _START.search(html, place):
+        start, name = mark.start(), (mark[2] or "").lower()
+        if mark[0] == "<!--":
+            end = html.find("-->", mark.end())
+            return Token(start, end + 3 if end >= 0 else len(html), "", False, "")
+        if name:
+            end = tags.end(mark.end())
+            if name in RAW and not mark[1] and end >= 0 and html[mark.end() : mark.end() + 1] in (" ", "\t", "\n", "\r", "\f", "\v", "/", ">"):
+                close = _RAW_END[name].search(html, end)
+                return Token(start, close.end() if close else len(html), "", False, "")
+            end = end if end >= 0 else tags.plain_end(mark.end())
+            if end:
+                return Token(start, end, name, bool(mark[1]), html[mark.end() : end - 1])
+        elif end := tags.plain_end(mark.end()):
+            return Token(start, end, "", False, "")
+        # no tag ends from here on; a comment may begin
+        place = html.find("<!--", start + 1)
+        if place < 0:
+            return None
+    return None
+
+
+def dropped(tags: Tags) -> dict[int, int]:
     """Where the start tag of each closed element of DROPPED ends: where its end tag ends. An svg that closes itself is empty."""
     open_tags: dict[str, list[int]] = {name: [] for name in DROPPED}
     ends = {}
-    for edge in _EDGE.finditer(html):
-        name = edge[2].lower()
+    for edge in _EDGE.finditer(tags.html):
+        name, end = edge[2].lower(), tags.end(edge.end())
+        if end < 0:
+            continue
         if edge[1]:
             if open_tags[name]:
-                ends[open_tags[name].pop()] = edge.end()
-        elif name != "svg" or not edge[3].endswith("/"):
+                ends[open_tags[name].pop()] = end
+        elif name != "svg" or not tags.html[edge.end() : end - 1].endswith("/"):
             if name not in NESTED:
                 open_tags[name].clear()
-            open_tags[name].append(edge.end())
+            open_tags[name].append(end)
     return ends
 
 
@@ -92,14 +162,13 @@ class Page:
                 self.text[stack[-1]] += size
                 self.linked[stack[-1]] += size * (links > 0)
 
-        while token := _TOKEN.search(html, at):
-            add(html[at : token.start()])
-            at = token.end()
-            name = (token[3] or token[6] or "").lower()
-            closing = bool(token[2] or token[5])
+        tags, open_now = Tags(html), Counter()
+        while token := next_token(tags, at):
+            add(html[at : token.start])
+            at, name, closing = token.end, token.name, token.closing
             if name in DROPPED:
                 if not closing:
-                    ends = dropped(html) if ends is None else ends
+                    ends = dropped(tags) if ends is None else ends
                     at = ends.get(at, at)
             elif name == "a":
                 links = 0 if closing else 1
@@ -108,16 +177,18 @@ class Page:
             elif name in BLOCKS:
                 flush()
                 if closing:
-                    if any(self.tag[i] == name for i in stack):
-                        while self.tag[stack.pop()] != name:
-                            pass
+                    while open_now[name]:
+                        gone = self.tag[stack.pop()]
+                        open_now[gone] -= 1
+                        if gone == name:
+                            break
                     continue
                 if self.tag[stack[-1]] == "p":
-                    stack.pop()
+                    open_now[self.tag[stack.pop()]] -= 1
                 if name in CLOSES and self.tag[stack[-1]] in CLOSES[name]:
-                    stack.pop()
+                    open_now[self.tag[stack.pop()]] -= 1
                 node = len(self.tag)
-                given = token[4] or token[7] or ""
+                given = token.given
                 words = " ".join("".join(m) for m in _NAMES.findall(given)).lower() if given else ""
                 main = _MAIN.search(given)
                 self.parent.append(stack[-1])
@@ -128,6 +199,7 @@ class Page:
                 self.linked.append(0)
                 if name not in VOID:
                     stack.append(node)
+                    open_now[name] += 1
         add(html[at:])
         flush()
 

@@ -176,16 +176,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component, with the columns of ``docs``: that of the smallest id, or one without an id if none has one. Among
     rows that share that id, or lack one, a hash of the row decides; of equal rows one stays."""
-    whole = [*docs.columns, *(F.col(c).isNull() for c in docs.columns)]
-    keys = {"_k1": F.xxhash64(*whole), "_k2": F.xxhash64(F.lit(1), *whole)}
-    own = written(fingerprints(docs.select("doc_id", "text", *(k.alias(c) for c, k in keys.items()))).drop("text"), "simhash")
-    kinds = own.groupBy("fingerprint", "_k1", "_k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("times"))
+    # the caller's columns are in one struct, so that no name of theirs is taken for one of these
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    whole = [*columns, *(c.isNull() for c in columns)]
+    keyed = docs.select(F.struct(*columns).alias("own"), F.xxhash64(*whole).alias("k1"), F.xxhash64(F.lit(1), *whole).alias("k2"))
+    own = written(fingerprints(keyed.select("own.doc_id", "own.text", "k1", "k2")).drop("text"), "simhash")
+    kinds = own.groupBy("fingerprint", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("times"))
     nodes = written(own.select("fingerprint").distinct(), "simhash-nodes")
     found = components(links(nodes)).withColumnRenamed("node", "fingerprint")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_k1", "_k2", "times")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "k1", "k2", "times")).alias("first")
     kept = kinds.join(found, "fingerprint", "left").groupBy(F.coalesce("component", "fingerprint")).agg(first)
-    kept = written(kept.select("first._k1", "first._k2", "first.times"), "simhash-kept")
-    keyed = docs.withColumns(keys)
-    once = keyed.join(kept.where("times = 1"), ["_k1", "_k2"], "left_semi")
-    repeated = keyed.join(broadcast_if_small(kept.where("times > 1")), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
-    return once.select(*docs.columns).union(repeated.select(*docs.columns))
+    kept = written(kept.select("first.k1", "first.k2", "first.times"), "simhash-kept")
+    once = keyed.join(kept.where("times = 1"), ["k1", "k2"], "left_semi")
+    repeated = keyed.join(broadcast_if_small(kept.where("times > 1")), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return once.select("own.*").union(repeated.select("own.*"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -278,6 +279,18 @@ def test_what_is_dropped_of_a_page(html, want):
     assert "|".join(text for _, text in html_text.Page(html).stretches) == want
 
 
+@pytest.mark.parametrize("unit", ['<div class="x', "<button '", '<p ">" ', "</div ", "<div><p>", "<x '>' "])
+@pytest.mark.parametrize("end", ["", "'"])
+def test_a_page_is_passed_over_once(unit, end):
+    """Many tags that do not end, or nested ones: four times as many take no more than some eight times as long."""
+    seconds = []
+    for size in (50_000, 200_000):
+        start = time.process_time()
+        html_text.Page(unit * (size // len(unit)) + end)
+        seconds.append(time.process_time() - start)
+    assert seconds[1] < 0.5 + 8 * seconds[0]
+
+
 def test_pages_that_mark_their_article_are_learned_from_whole(spark):
     names = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) + "x" for i in range(11_000)]
     paragraphs = "".join(f"<p class={n}>t</p>" for n in names)
