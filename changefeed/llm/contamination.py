@@ -2,9 +2,9 @@
 
 An item is the set of its shingles of five words (lower case, letters and digits; a shorter item is one shingle of all its words). Its MinHash
 signature is the smallest of its shingle hashes, as many as make certain that a document with at least the wanted share of the item's
-shingles has one of them: for n shingles of which m must be there, the n - m + 1 smallest. Items are partitioned by size, which fixes the
-length of the signature and the least size of a document that can hold them. Documents are searched for signatures; a candidate is verified
-by exact containment of the item's shingles.
+shingles has one of them: for n shingles of which m must be there, the n - m + 1 smallest. An item's size fixes the length of its signature, the size
+of its shingles and the least size of a document that can hold it. Documents are searched for signatures alone; only candidates are verified, by exact
+containment of the item's shingles.
 
 A null or empty text has no shingles: such an item is never found, such a document holds none. Documents of equal text are searched once.
 Equal items are found in the same documents.
@@ -50,7 +50,7 @@ def shingles(texts: pa.Array, sizes: list[int]) -> list[tuple[int, np.ndarray, n
 
 
 def signatures(items: DataFrame, share: float = CONTAINMENT) -> DataFrame:
-    """Per distinct shingle of an item: item_id, words, hash, n, need (shingles that must be there), partition (of sizes), signed (in the signature)."""
+    """Per distinct shingle of an item: item_id, words, hash, n, need (shingles that must be there), signed (in the signature)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,13 +64,13 @@ def signatures(items: DataFrame, share: float = CONTAINMENT) -> DataFrame:
                         own = np.unique(hashes[np.searchsorted(row, i) : np.searchsorted(row, i, "right")].view(np.uint64))
                         n = len(own)
                         need = max(1, int(np.ceil(share * n - 1e-9)))
-                        rows += [(ids[i], size, int(h), n, need, n.bit_length(), k <= n - need) for k, h in enumerate(own.view(np.int64))]
-                columns = [*zip(*rows, strict=True)] or [()] * 7
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
-                names = ["item_id", "words", "hash", "n", "need", "partition", "signed"]
+                        rows += [(ids[i], size, int(h), n, need, k <= n - need) for k, h in enumerate(own.view(np.int64))]
+                columns = [*zip(*rows, strict=True)] or [()] * 6
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+                names = ["item_id", "words", "hash", "n", "need", "signed"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    schema = "item_id bigint, words int, hash bigint, n int, need int, partition int, signed boolean"
+    schema = "item_id bigint, words int, hash bigint, n int, need int, signed boolean"
     return items.select("item_id", "text").mapInArrow(run, schema)
 
 
@@ -86,15 +86,8 @@ def hash_filter(values: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def contained(docs: DataFrame, items: DataFrame, share: float = CONTAINMENT) -> DataFrame:
-    """Which texts hold which items: text_key (struct of two hashes of the text), item_id, n_shingles, n_found.
-
-    ``docs`` has ``text``, ``items`` item_id and text. Documents give the shingles that pass a filter of fixed size of the items' shingles; the join
-    with the items tells candidates (a shingle of the signature) and counts the shingles that are there.
-    """
-    known = written(signatures(items, share), "items")
-    sizes = sorted(r.words for r in known.select("words").distinct().collect())  # at most SHINGLE numbers
-    marks = hash_filter(known)
+def _holding(marks: np.ndarray, sizes: list[int]):
+    """A function from batches (k1, k2, text) to the distinct shingles of each text that may be among those of a filter: k1, k2, words, hash, doc_shingles."""
     shift = np.uint64(64 - FILTER_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,12 +106,28 @@ def contained(docs: DataFrame, items: DataFrame, share: float = CONTAINMENT) ->
                             ["k1", "k2", "words", "hash", "doc_shingles"],
                         )
 
+    return run
+
+
+def contained(docs: DataFrame, items: DataFrame, share: float = CONTAINMENT) -> DataFrame:
+    """Which texts hold which items: text_key (struct of two hashes of the text), item_id, n_shingles, n_found.
+
+    ``docs`` has ``text``, ``items`` item_id and text. First the signatures alone are looked for: a text with one shingle of an item's signature, and with as many shingles
+    as the item needs, is a candidate. Then the shingles of candidates are compared with all of their items, and counted.
+    """
+    known = written(signatures(items, share), "items")
+    sizes = sorted(r.words for r in known.select("words").distinct().collect())  # at most SHINGLE numbers
+    schema = "k1 bigint, k2 bigint, words int, hash bigint, doc_shingles bigint"
     keyed = docs.select("text", text_key().getField("k1").alias("k1"), text_key().getField("k2").alias("k2"))
-    found = keyed.mapInArrow(run, "k1 bigint, k2 bigint, words int, hash bigint, doc_shingles bigint").dropDuplicates(["k1", "k2", "words", "hash"])
+    signed = known.where("signed")
+    met = keyed.mapInArrow(_holding(hash_filter(signed), sizes), schema).join(broadcast_if_small(signed), ["words", "hash"])
+    candidates = written(met.where("doc_shingles >= need").select("k1", "k2", "item_id").distinct(), "candidates")
+    texts = keyed.join(broadcast_if_small(candidates.select("k1", "k2").distinct()), ["k1", "k2"], "left_semi")
+    found = texts.mapInArrow(_holding(hash_filter(known), sizes), schema).dropDuplicates(["k1", "k2", "words", "hash"])
     return (
-        found.join(broadcast_if_small(known), ["words", "hash"]).where("doc_shingles >= need")
-        .groupBy("k1", "k2", "item_id").agg(F.first("n").alias("n_shingles"), F.first("need").alias("need"), F.count("*").alias("n_found"), F.max("signed").alias("candidate"))
-        .where("candidate and n_found >= need")
+        found.join(broadcast_if_small(known), ["words", "hash"]).join(broadcast_if_small(candidates), ["k1", "k2", "item_id"], "left_semi")
+        .groupBy("k1", "k2", "item_id").agg(F.first("n").alias("n_shingles"), F.first("need").alias("need"), F.count("*").alias("n_found"))
+        .where("n_found >= need")
         .select(F.struct("k1", "k2").alias("text_key"), "item_id", "n_shingles", "n_found")
     )
 
