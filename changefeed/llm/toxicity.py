@@ -102,8 +102,9 @@ class Lexicon:
 
     def __init__(self, learned: dict[str, float]):
         entries = {w: (INSULT, FIXED_WEIGHT) for w in INSULTS.split()} | {w: (INSULT, x) for w, x in learned.items()}
+        # a word of the grammar keeps its role, learned or not
         for words, symbol in ((THREATS, THREAT), (TARGETS, TARGET), (DENIALS, DENIAL), (REPORTS, REPORT)):
-            entries |= {w: (symbol, THREAT_WEIGHT if symbol == THREAT else 0.0) for w in words.split() if w not in learned}
+            entries |= {w: (symbol, THREAT_WEIGHT if symbol == THREAT else 0.0) for w in words.split()}
         data, offsets = flat_text(pa.array(list(entries)))
         hashes = word_hashes(data, offsets[:-1], offsets[1:])
         order = np.argsort(hashes)
@@ -212,7 +213,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
     # at most sample_rows rows of two numbers
     learned = learn_words(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
     x = written(with_features(docs, learned), "toxicity")
-    known = x.join(F.broadcast(sample), "doc_id").select("x", "label").toPandas()
+    # one row for each sampled id and label, however many rows the id has
+    known = x.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("x").alias("x")).select("x", "label").toPandas()
     if known["label"].nunique() == 2:
         weights = logistic(np.array(known["x"].tolist()), known["label"].to_numpy(float))
     else:

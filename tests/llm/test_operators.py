@@ -301,6 +301,21 @@ def test_pages_that_mark_their_article_are_learned_from_whole(spark):
     assert len(odds) == 1 and -99 not in odds
 
 
+def test_words_of_the_grammar_keep_their_role():
+    """A learned word takes no threat, target, denial or report away."""
+    nexts, weights = toxicity.tables(toxicity.grammar())
+    lexicon = toxicity.Lexicon(dict.fromkeys("kill you not said".split(), 6.0))
+    texts = ["you said", "I will kill time", "not"]
+    assert toxicity.clause_features(pa.array(texts), lexicon, nexts, weights)[:, 0].tolist() == [0, 0, 0]
+
+
+def test_a_repeated_id_brings_one_row_to_the_driver(spark):
+    docs = spark.createDataFrame([(i % 6, f"you idiot number {i}" if i % 2 else f"fine text number {i}") for i in range(300)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)] * 3, "doc_id bigint, toxic int")
+    got = toxicity.classify(docs, labels).collect()
+    assert len(got) == 300 and all(0 <= r.score <= 1 for r in got)
+
+
 def test_grammar():
     nexts, weights = toxicity.tables(toxicity.grammar())
     lexicon = toxicity.Lexicon({"gloop": 5.0})
