@@ -110,3 +110,28 @@ def test_unlike_words_of_one_polynomial_are_not_removed(spark, ending):
     docs = spark.createDataFrame([(i, "".join(thue_morse(2048, *w)) + " " + rest) for i, w in enumerate(("ab", "ba"))], "doc_id bigint, text string")
     want = 0 if not ending else 35
     assert {r.n_removed for r in substrings.removed(docs).collect()} == {want}
+
+
+def test_quality_scores_are_those_of_a_plain_discriminant(spark, sf_dir):
+    """Sums by partition, shrinkage, Cholesky factors and log densities against the formulas written out, on all documents."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.select("doc_id", "text").toPandas()
+    x = quality.statistics(pa.array(rows["text"], pa.string()))
+    known = dict(labels.select("doc_id", "quality").toPandas().itertuples(index=False, name=None))
+    out = {r.doc_id for r in docs.where(quality.held_out("doc_id", 4, 2)).select("doc_id").collect()}
+    learn = [i for i, d in enumerate(rows["doc_id"]) if d in known and d not in out and known[d] in (0, 1)]
+    y = np.array([known[rows["doc_id"][i]] for i in learn])
+    xs, shrink = x[learn], quality.SHRINK
+    own = [xs[y == k] for k in (0, 1)]
+    covariances = [np.cov(o.T, bias=True) for o in own]
+    pooled = sum(len(o) * c for o, c in zip(own, covariances)) / len(y)
+    logs = []
+    for o, c in zip(own, covariances):
+        mixed = (1 - 2 * shrink) * c + shrink * np.diag(np.diag(c)) + shrink * pooled + 1e-4 * np.eye(len(c))
+        away = x - o.mean(0)
+        distance = np.einsum("ij,jk,ik->i", away, np.linalg.inv(mixed), away)
+        logs.append(np.log(len(o) / len(y)) - 0.5 * np.linalg.slogdet(mixed)[1] - 0.5 * distance)
+    want = dict(zip(rows["doc_id"], 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))))
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == len(rows) and max(abs(r.score - want[r.doc_id]) for r in got) < 1e-6
+    assert {r.doc_id for r in got if r.held_out} == out and all(r.predicted == (r.score >= 0.7) for r in got)

@@ -301,6 +301,13 @@ def test_pages_that_mark_their_article_are_learned_from_whole(spark):
     assert len(odds) == 1 and -99 not in odds
 
 
+def test_toxic_rows_that_are_held_out_are_found(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    judged = toxicity.classify(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out").select("toxic", "predicted").collect()
+    found = sum(r.predicted for r in judged if r.toxic == 1)
+    assert found >= 0.85 * sum(r.toxic == 1 for r in judged) and found >= 0.95 * sum(r.predicted for r in judged)
+
+
 def test_words_of_the_grammar_keep_their_role():
     """A learned word takes no threat, target, denial or report away."""
     nexts, weights = toxicity.tables(toxicity.grammar())
