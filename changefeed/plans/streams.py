@@ -6,20 +6,48 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from changefeed.functions.instants import iso_instant
+from changefeed.operators import positions
 from changefeed.plans.capture import RULES_V1, row_fields, rule_table
 from changefeed.plans.feed import FEED_SQL, change_feed, iso_ms_sql, pack, row_changes
 from changefeed.plans.registry import query
 from changefeed.plans.reports import _COUNTS_SQL, CAPTURE_SQL, show_capture
 from changefeed.plans.rows import CUT_MS
-from changefeed.session import work_dir
+from changefeed.session import discard, work_dir, written
 from changefeed.sources import changelog, sinks
 from changefeed.streaming import ingest, live_metrics, schemas, transactions
 
 
-def write_feed(feed, path: str, files: int = 4, newest_first: bool = False) -> None:
-    """Append the feed as ``files`` files of rising, or falling, log position."""
-    number = F.try_variant_get(F.try_parse_json("source_offset"), "$.timestamp", "bigint")
-    feed.repartitionByRange(files, number.desc_nulls_last() if newest_first else number.asc_nulls_first()).write.mode("append").parquet(path)
+ROWS_PER_FILE = 50_000
+FILES_PER_BATCH = 32
+
+
+def feed_order() -> list:
+    """Place of a feed's row in the log: time, number, and its text where these are missing or the same."""
+    offset = F.try_parse_json("source_offset")
+    return [*(F.try_variant_get(offset, f"$.{entry}", "bigint") for entry in ("timestamp", "lsn")), F.xxhash64("value", "source_partition", "source_offset")]
+
+
+def ranged_feed(feed, parts: int, newest_first: bool = False) -> tuple:
+    """The stored ``feed`` dealt out into files by ranges of rising, or falling, log position, and how many files make a micro-batch.
+
+    A file has some ROWS_PER_FILE rows. There are ``parts`` batches, and more where one would have over FILES_PER_BATCH files, so that neither what a task reads nor what
+    a batch holds grows with the feed.
+    """
+    files = max(parts, -(-feed.count() // ROWS_PER_FILE))
+    keyed, order = positions.with_order(feed, feed_order())
+    if newest_first:
+        order = [F.col(name).desc_nulls_last() for name in keyed.columns[len(feed.columns):]]
+    return keyed.repartitionByRange(files, *order).select(*feed.columns), min(FILES_PER_BATCH, -(-files // parts))
+
+
+def write_feed(feed, path: str, files: int = 4, newest_first: bool = False) -> int:
+    """Append the feed as files of rising, or falling, log position: ``files`` of them, or as many times more as its rows need. Returns how many of them make a
+    micro-batch (see ``ranged_feed``)."""
+    stored = written(feed, "feed")  # making the ranges reads the rows twice
+    ranged, per_batch = ranged_feed(stored, files, newest_first)
+    ranged.write.mode("append").parquet(path)
+    discard(stored)
+    return per_batch
 
 
 def read_messages(spark, out: str):
@@ -37,12 +65,13 @@ def read_messages(spark, out: str):
     operation, lsn, after_status, CASE WHEN table_name <> 'customers' THEN after_amount END AS after_amount
     FROM f WHERE table_name <> 'audit_log'""")
 def stream_ingest(spark, sf_dir):
-    """Capture under rules, one file per micro-batch; the feed is delivered twice, the second time newest first, and deduplicated."""
+    """Capture under rules, in micro-batches of a few files; the feed is delivered twice, the second time newest first, and deduplicated."""
     feed, out = work_dir(spark, "feed"), work_dir(spark, "capture")
-    write_feed(change_feed(spark, sf_dir), feed)
-    write_feed(change_feed(spark, sf_dir), feed, newest_first=True)
+    changes = written(row_changes(spark, sf_dir), "changes")
+    write_feed(pack(changes), feed)
+    per_batch = write_feed(pack(changes), feed, newest_first=True)
     capture = ingest.start_capture(
-        changelog.stream_changes(spark, feed, per_trigger=1),
+        changelog.stream_changes(spark, feed, per_trigger=per_batch),
         out,
         f"{out}/checkpoint",
         load_rules=lambda: rule_table(spark, RULES_V1),

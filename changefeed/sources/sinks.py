@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changefeed.operators.positions import latest_positions, order_columns
+from changefeed.operators.positions import latest_positions, order_parts, with_order
 from changefeed.sources import folders
 
 # Producer settings.
@@ -49,7 +49,8 @@ def in_key_order(messages: DataFrame) -> DataFrame:
 
     A hot table whose rows have keys of their own fills many tasks; all messages of one key need one.
     """
-    return messages.repartition("topic", "key").sortWithinPartitions("topic", "key", *order_columns(), "event_id")
+    dealt, order = with_order(messages.repartition("topic", "key"), order_parts())
+    return dealt.sortWithinPartitions("topic", "key", *order, "event_id").select(*messages.columns)
 
 
 def kafka_sink(servers: str, options: Mapping[str, str] | None = None) -> Sink:
@@ -81,8 +82,9 @@ def write_in_order(messages: DataFrame, path: str, rows_per_file: int = ROWS_PER
     tasks and n messages make at most n / rows_per_file files and one more for each topic.
     """
     ranges = -(-messages.count() // rows_per_file) or 1
-    keys = ["topic", *order_columns(), "event_id"]
-    ordered = messages.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    keyed, order = with_order(messages, order_parts())
+    keys = ["topic", *order, "event_id"]
+    ordered = keyed.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
     ordered.select("topic", "key", "value").write.mode("overwrite").partitionBy("topic").parquet(path)
 
 
