@@ -86,11 +86,11 @@ def stream_ingest(spark, sf_dir):
 def stream_resume(spark, sf_dir):
     """Two runs over one checkpoint: the second takes only what came after the first."""
     feed, out = work_dir(spark, "feed"), work_dir(spark, "capture")
-    changes = row_changes(spark, sf_dir)
+    changes = written(row_changes(spark, sf_dir), "changes")
     for part in (F.col("ts_ms") < CUT_MS, F.col("ts_ms") >= CUT_MS):
-        write_feed(pack(changes.where(part)), feed, files=2)
+        per_batch = write_feed(pack(changes.where(part)), feed, files=2)
         run = ingest.start_capture(
-            changelog.stream_changes(spark, feed, per_trigger=1), out, f"{out}/checkpoint", available_now=True
+            changelog.stream_changes(spark, feed, per_trigger=per_batch), out, f"{out}/checkpoint", available_now=True
         )
         run.awaitTermination()
     return read_messages(spark, out).select("topic", "operation", "lsn", *row_fields("after"))

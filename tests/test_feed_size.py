@@ -41,7 +41,7 @@ def test_rows_without_time_fill_many_files(spark, tmp_path, small_files):
     assert max(r["count"] for r in feed_rows(str(tmp_path / "feed"), spark).groupBy("file").count().collect()) <= 300
 
 
-@pytest.mark.parametrize("name", ["stream_ingest"])
+@pytest.mark.parametrize("name", ["stream_ingest", "stream_resume"])
 def test_answer_of_many_files(spark, sf_dir, small_files, name):
     ok, text = check(spark, connect(sf_dir), name, sf_dir)
     assert ok, text
