@@ -135,10 +135,10 @@ def stream_transactions(spark, sf_dir):
 DRIFT_STEPS = 4
 
 
-def drifting_feed(spark, sf_dir, step: int):
-    """The events of one in DRIFT_STEPS parts, by log number, as inserts of rows whose columns change: ``channel`` is added in part 1, ``status`` is called
+def drifting_feed(changes, step: int):
+    """The row changes of one in DRIFT_STEPS parts, by log number, as inserts of rows whose columns change: ``channel`` is added in part 1, ``status`` is called
     ``state`` from part 2 on, and ``amount`` is text from part 3 on."""
-    rows = row_changes(spark, sf_dir).where((F.col("lsn") % DRIFT_STEPS == step) & F.col("after_status").isNotNull())
+    rows = changes.where((F.col("lsn") % DRIFT_STEPS == step) & F.col("after_status").isNotNull())
     columns = [F.col("key_id").alias("id"), F.col("after_status").alias("status" if step < 2 else "state"), F.col("after_amount").cast("string" if step > 2 else "double").alias("amount")]
     image = F.struct(*columns, *([F.lit("web").alias("channel")] if step > 0 else []))
     source = F.struct(F.lit("postgresql").alias("connector"), F.lit("cdcdb").alias("db"), F.col("schema_name").alias("schema"), F.col("table_name").alias("table"), "lsn", F.col("source_ts_ms").alias("ts_ms"))
@@ -157,8 +157,9 @@ def drifting_feed(spark, sf_dir, step: int):
 def stream_drift(spark, sf_dir):
     """Schema changes that capture finds while it runs, batch by batch, against the registry that it keeps."""
     feed, out = work_dir(spark, "feed"), work_dir(spark, "capture")
+    changes = written(row_changes(spark, sf_dir), "changes")
     for step in range(DRIFT_STEPS):
-        drifting_feed(spark, sf_dir, step).coalesce(1).write.mode("append").parquet(feed)
+        write_feed(drifting_feed(changes, step), feed, 1)  # a step is one micro-batch, by its number
         stream = changelog.stream_changes(spark, feed)
         ingest.start_capture(stream, out, f"{out}/checkpoint", track_schemas=True, available_now=True).awaitTermination()
     return schemas.schema_changes(spark, f"{out}/schema_changes").select("fqn", "batch_id", "change", "column", "new_name", "old_type", "new_type")
