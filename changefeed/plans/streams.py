@@ -98,17 +98,17 @@ def stream_resume(spark, sf_dir):
 
 @query("stream_metrics_by_period", FEED_SQL + f"""SELECT {iso_ms_sql('ts_ms // 3600000 * 3600000')} AS period_start, fqn, {_COUNTS_SQL} FROM f GROUP BY ts_ms // 3600000, fqn""")
 def stream_metrics_by_period(spark, sf_dir):
-    """Hourly metrics of a stream, one file per micro-batch, the newest events first: every batch's counts add up, late hours included."""
+    """Hourly metrics of a stream in micro-batches, the newest events first: every batch's counts add up, late hours included."""
     out = counted_stream(spark, sf_dir)
     counts = [f"{op}_count" for op in ("insert", "update", "delete")]
     return live_metrics.period_metrics(spark, out).select(iso_instant(F.col("period_start")).alias("period_start"), "fqn", *counts)
 
 
 def counted_stream(spark, sf_dir, files: int = 6) -> str:
-    """The folder of the metrics of the feed, streamed a file at a time from its newest part to its oldest."""
+    """The folder of the metrics of the feed, streamed a part at a time from its newest part to its oldest."""
     feed, out = work_dir(spark, "feed"), work_dir(spark, "metrics")
-    write_feed(change_feed(spark, sf_dir), feed, files, newest_first=True)
-    live_metrics.start(changelog.stream_changes(spark, feed, per_trigger=1), out, f"{out}/checkpoint", available_now=True).awaitTermination()
+    per_batch = write_feed(change_feed(spark, sf_dir), feed, files, newest_first=True)
+    live_metrics.start(changelog.stream_changes(spark, feed, per_trigger=per_batch), out, f"{out}/checkpoint", available_now=True).awaitTermination()
     return out
 
 

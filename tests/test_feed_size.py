@@ -41,7 +41,7 @@ def test_rows_without_time_fill_many_files(spark, tmp_path, small_files):
     assert max(r["count"] for r in feed_rows(str(tmp_path / "feed"), spark).groupBy("file").count().collect()) <= 300
 
 
-@pytest.mark.parametrize("name", ["stream_ingest", "stream_resume", "stream_drift"])
+@pytest.mark.parametrize("name", ["stream_ingest", "stream_resume", "stream_drift", "stream_metrics_by_period", "stream_capture_metrics"])
 def test_answer_of_many_files(spark, sf_dir, tmp_path, monkeypatch, small_files, name):
     monkeypatch.setattr(streams, "work_dir", lambda spark, purpose: str(tmp_path / purpose))
     ok, text = check(spark, connect(sf_dir), name, sf_dir)
