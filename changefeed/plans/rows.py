@@ -80,7 +80,7 @@ def resume_after(spark, sf_dir):
     FROM f""")
 def ordered_per_table(spark, sf_dir):
     """Numbered in one exchange of the events, by ranges of table and position."""
-    return positions.with_delivery_number(events(spark, sf_dir)).select("fqn", lsn(), "delivery_no")
+    return positions.with_delivery_number(events(spark, sf_dir).select("fqn", "position")).select("fqn", lsn(), "delivery_no")
 
 
 LOG_FILE = 512  # events of a log file
@@ -110,7 +110,7 @@ def resume_by_log_place(spark, sf_dir):
 
 @query("ordered_by_log_place", FEED_SQL + "SELECT fqn, lsn, row_number() OVER (PARTITION BY fqn ORDER BY lsn) AS delivery_no FROM f")
 def ordered_by_log_place(spark, sf_dir):
-    return positions.with_delivery_number(log_place_events(spark, sf_dir)).select("fqn", lsn_of_place(), "delivery_no")
+    return positions.with_delivery_number(log_place_events(spark, sf_dir).select("fqn", "position")).select("fqn", lsn_of_place(), "delivery_no")
 
 
 FIRST_LAST_SQL = """g AS (SELECT fqn, key_id, arg_min(ROW(op, before_status, before_amount), ROW(ts_ms, lsn)) AS fst,
