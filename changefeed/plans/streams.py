@@ -122,10 +122,10 @@ def stream_capture_metrics(spark, sf_dir):
     FROM f GROUP BY source_partition, tx_id)
     SELECT source_partition, tx_id, n_events, fst[2] AS first_lsn, lst[2] AS last_lsn, lst < max(lst) OVER (PARTITION BY source_partition) AS closed FROM t""")
 def stream_transactions(spark, sf_dir):
-    """Transactions whose events lie in several micro-batches, one file per batch, the newest events first."""
+    """Transactions whose events lie in several micro-batches, the newest events first."""
     feed, out = work_dir(spark, "feed"), work_dir(spark, "transactions")
-    write_feed(change_feed(spark, sf_dir), feed, 5, newest_first=True)
-    transactions.start(changelog.stream_changes(spark, feed, per_trigger=1), out, f"{out}/checkpoint", available_now=True).awaitTermination()
+    per_batch = write_feed(change_feed(spark, sf_dir), feed, 5, newest_first=True)
+    transactions.start(changelog.stream_changes(spark, feed, per_trigger=per_batch), out, f"{out}/checkpoint", available_now=True).awaitTermination()
     return transactions.transactions(spark, out).select(
         "source_partition", "tx_id", "n_events", F.try_variant_get("first_position.offset", "$.lsn", "bigint").alias("first_lsn"),
         F.try_variant_get("last_position.offset", "$.lsn", "bigint").alias("last_lsn"), "closed",

@@ -13,6 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from changefeed.operators import envelope, state
 from changefeed.operators.positions import sort_key
+from changefeed.operators.skew import broadcast_if_small
+from changefeed.session import written
 from changefeed.sources import folders, sinks
 
 PARTS = f"source_partition STRING, tx_id BIGINT, n_events BIGINT, said BIGINT, first_position {sinks.POSITION}, last_position {sinks.POSITION}"
@@ -40,11 +42,11 @@ def transactions(spark: SparkSession, out: str) -> DataFrame:
 
     A transaction is closed when it has the number of events that it says, or, where it says none, when its source has a position after its last.
     """
-    whole = merge_parts(folders.read_runs(spark, f"{out}/transactions", PARTS))
+    whole = written(merge_parts(folders.read_runs(spark, f"{out}/transactions", PARTS)), "transactions")
     last = F.struct(sort_key(F.col("last_position")).alias("key"))
     newest = whole.groupBy("source_partition").agg(F.max(last).alias("newest"))
     closed = F.when(F.col("said").isNotNull(), F.col("n_events") >= F.col("said")).otherwise(last < F.col("newest"))
-    return whole.join(newest, "source_partition").select(
+    return whole.join(broadcast_if_small(newest), "source_partition").select(
         "source_partition", "tx_id", "n_events", "first_position", "last_position", closed.alias("closed")
     )
 
