@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from changefeed.functions.instants import iso_instant
 from changefeed.operators import positions
+from changefeed.operators.skew import broadcast_if_small, running_number
 from changefeed.plans.capture import RULES_V1, row_fields, rule_table
 from changefeed.plans.feed import FEED_SQL, change_feed, iso_ms_sql, pack, row_changes
 from changefeed.plans.registry import query
@@ -50,6 +51,19 @@ def write_feed(feed, path: str, files: int = 4, newest_first: bool = False) -> i
     return per_batch
 
 
+def parts_of_feed(spark, feed):
+    """The feed in parts of rising log position, each as many files as a micro-batch has."""
+    stored, path = written(feed, "feed"), work_dir(spark, "parts")
+    ranged, per_batch = ranged_feed(stored, 1)
+    # the range of a row, and so its part, is the number of its task
+    ranged.withColumn("part", F.expr(f"spark_partition_id() div {per_batch}")).write.partitionBy("part").parquet(path)
+    discard(stored)
+    parts = spark.read.schema(f"{changelog.FEED_SCHEMA}, part INT").parquet(path)
+    numbers = [row.part for row in parts.select("part").distinct().orderBy("part").collect()]  # one for each micro-batch
+    for number in numbers or [0]:
+        yield parts.where(F.col("part") == number).select(*feed.columns)
+
+
 def read_messages(spark, out: str):
     """Published messages of all batches, decoded."""
     wire = "operation STRING, position STRUCT<offset: VARIANT>, after VARIANT"
@@ -167,15 +181,25 @@ def stream_drift(spark, sf_dir):
 
 @query("stream_in_order", FEED_SQL + "SELECT fqn, lsn, row_number() OVER (PARTITION BY fqn, source_partition ORDER BY ts_ms, lsn) AS place FROM f")
 def stream_in_order(spark, sf_dir):
-    """Capture into a sink that numbers what it is given: the messages of a key come in log order, source by source, from one task each."""
+    """Capture into a sink that numbers what it is given: the messages of a key come in log order, source by source, from one task each and batch.
+
+    Parts of rising log position arrive one after the other, each captured as a micro-batch."""
     feed, out = work_dir(spark, "feed"), work_dir(spark, "sent")
-    write_feed(change_feed(spark, sf_dir), feed, 1)
 
     def number(messages, batch_id: int) -> None:
         sent = sinks.in_key_order(messages).select("key", "position", F.monotonically_increasing_id().alias("at"))
         sent.write.mode("overwrite").parquet(f"{out}/messages/batch_id={batch_id}")
 
-    ingest.start_capture(changelog.stream_changes(spark, feed), out, f"{out}/checkpoint", sink=number, available_now=True).awaitTermination()
-    sent = spark.read.parquet(f"{out}/messages")
-    placed = F.row_number().over(Window.partitionBy("key", "position.source_partition").orderBy("at"))
-    return sent.select(F.col("key").alias("fqn"), F.try_variant_get("position.offset", "$.lsn", "bigint").alias("lsn"), placed.cast("bigint").alias("place"))
+    for part in parts_of_feed(spark, change_feed(spark, sf_dir)):
+        part.write.mode("append").parquet(feed)
+        ingest.start_capture(changelog.stream_changes(spark, feed), out, f"{out}/checkpoint", sink=number, available_now=True).awaitTermination()
+    sent = spark.read.option("basePath", f"{out}/messages").parquet(f"{out}/messages/batch_id=*").select(
+        "batch_id", F.col("key").alias("fqn"), F.col("position.source_partition").alias("source"), F.try_variant_get("position.offset", "$.lsn", "bigint").alias("lsn"), "at",
+    )
+    # the place in a batch, after all that the batches before it sent of the key and source
+    placed = running_number(sent, ["batch_id", "fqn", "source"], ["at"], "in_batch")
+    before = Window.partitionBy("fqn", "source").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sent.groupBy("batch_id", "fqn", "source").agg(F.count("*").alias("n"))  # one row for each batch, key and source
+    earlier = sizes.select("batch_id", "fqn", "source", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    numbered = placed.join(broadcast_if_small(earlier), ["batch_id", "fqn", "source"])
+    return numbered.select("fqn", "lsn", (F.col("in_batch") + F.col("earlier")).alias("place"))
