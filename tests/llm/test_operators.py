@@ -1,6 +1,7 @@
 """The operators against brute force, the tokenizer libraries and hand-made cases: nulls, empty texts, ties, repeated rows, empty tables."""
 
 import hashlib
+import os
 import re
 import time
 from collections import Counter
@@ -215,6 +216,70 @@ def test_no_pair_of_similar_lines_is_missed(spark):
     assert kept == {a for a in range(len(rows)) if find[a] == a} and 64 <= len(kept) < len(rows) / 2
 
 
+def test_lines_of_few_words_that_come_again_and_again(spark):
+    rng, rows = np.random.default_rng(5), []
+    for n in [5, 7, 10, 12, 15, 20, 25, 31] * 6:
+        line = [f"w{i}" for i in rng.integers(9, size=n)]
+        rows.append(line)
+        for _ in range(3):
+            copy = list(line)
+            for _ in range(rng.integers(1, n // 5 + 2)):
+                at = rng.integers(len(copy))
+                copy[at : at + 1] = ([f"w{rng.integers(9)}"], [], [copy[at], f"w{rng.integers(9)}"])[rng.integers(3)]
+            rows.append(copy)
+    rows = [r for r in {tuple(r): list(r) for r in rows}.values() if len(r) >= 4]
+    find = list(range(len(rows)))
+    for b, y in enumerate(rows):
+        for a, x in enumerate(rows[:b]):
+            if word_edits(x, y) * 5 <= max(len(x), len(y)):
+                old, new = max(find[a], find[b]), min(find[a], find[b])
+                find = [new if f == old else f for f in find]
+    docs = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(rows)], "doc_id bigint, text string").repartition(4)
+    kept = {r.doc_id for r in lines.without_repeated_lines(docs).where("text <> ''").collect()}
+    assert kept == {a for a in range(len(rows)) if find[a] == a} and 24 <= len(kept) < len(rows)
+
+
+def line_nodes(spark, texts):
+    """key, k1, n, codes, as of distinct lines; a line's key has its number in ``texts``."""
+    docs = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "doc_id bigint, text string")
+    return lines.parsed(docs).select(lines.node_key(F.col("doc"), F.col("n"), F.lit(1)).alias("key"), "k1", "n", "codes").localCheckpoint()
+
+
+def test_lines_with_a_word_pair_at_unlike_places_are_not_compared(spark):
+    a, b = passage(41, 20).split(), passage(42, 20).split()
+    nodes = line_nodes(spark, [" ".join(["rare", "pair", *a]), " ".join([*b, "rare", "pair"])])
+    assert lines.crowded_blocks(nodes, lines.commonness(nodes)).count() == 0
+    nodes = line_nodes(spark, [" ".join(["rare", "pair", *a]), " ".join([a[0], "rare", "pair", *a[1:]])])
+    assert lines.to_leaders(lines.crowded_blocks(nodes, lines.commonness(nodes))).count() == 1
+
+
+def test_a_line_gets_one_link_to_a_group_however_many_of_it_are_similar(spark):
+    base = passage(43, 60).split()
+    group = [" ".join([*base[:i], f"own{i}", *base[i + 1 :]]) for i in range(40)]
+    late = [" ".join([*base[:50], f"late{i}", *base[51:]]) for i in range(5)]
+    far = " ".join([*base[:20], *passage(44, 40).split()])
+    nodes = line_nodes(spark, [*group, *late, far])
+    keys = {r.key >> lines.LENGTH_BITS: r.key for r in nodes.collect()}
+    labels = spark.createDataFrame([(keys[i], keys[0]) for i in range(40)], "key bigint, label bigint")
+    links = {tuple(r) for r in lines.across(lines.crowded_blocks(nodes, lines.commonness(nodes)), labels, nodes).collect()}
+    assert {link for link in links if keys[0] in link} == {(keys[i], keys[0]) for i in range(40, 45)}
+    assert all(keys[45] not in link for link in links) and len(links) <= 5 + 10
+
+
+def test_lines_leave_no_words_on_disk(spark, monkeypatch):
+    made = {}
+
+    def written(df, purpose, real=lines.written):
+        table = real(df, purpose)
+        made.setdefault(purpose, []).append(table.work_path)
+        return table
+
+    monkeypatch.setattr(lines, "written", written)
+    assert lines.without_repeated_lines(table(spark, [passage(45, 30), f"{passage(45, 30)} end", None])).count() == 3
+    left = {purpose for purpose, paths in made.items() for path in paths if os.path.exists(path)}
+    assert {"lines", "lines-distinct"} < made.keys() and left <= {"lines-dropped", "line-blocks-hot"}
+
+
 def test_phrases(spark, texts):
     for text in texts:
         data = (text or "").encode()
