@@ -266,6 +266,37 @@ def test_a_line_gets_one_link_to_a_group_however_many_of_it_are_similar(spark):
     assert all(keys[45] not in link for link in links) and len(links) <= 5 + 10
 
 
+def test_lines_that_meet_in_many_blocks_are_compared_once(spark, monkeypatch):
+    base = passage(46, 60).split()
+    texts = [" ".join([*base[:i], f"own{i}", *base[i + 1 :]]) for i in range(12)]
+    nodes = line_nodes(spark, texts)
+    compared = []
+
+    def similar(pairs, nodes, real=lines.similar):
+        compared.extend((r.a, r.b) for r in pairs.collect())
+        return real(pairs, nodes)
+
+    monkeypatch.setattr(lines, "similar", similar)
+    labels = spark.createDataFrame([], "key bigint, label bigint")
+    links = lines.across(lines.crowded_blocks(nodes, lines.commonness(nodes)), labels, nodes).collect()
+    assert len(compared) == len(set(compared)) > 0
+    found = components.components(spark.createDataFrame([tuple(r) for r in links], "a bigint, b bigint")).select("component").distinct().count()
+    assert found == 1
+
+
+def test_line_sizes_keep_all_lengths_that_can_be_similar(spark):
+    lengths = [*range(4, 140), *range(1000, 1500, 37), lines.LONGEST]
+    rows = spark.createDataFrame([(1, n, n) for n in lengths], "at bigint, key bigint, label bigint")
+    met = {tuple(r) for r in lines._in_reach(rows, rows, F.lit(True), "inner").select("l.key", "r.key").collect()}
+    assert {(m, n) for m in lengths for n in lengths if m != n and abs(m - n) <= max(m, n) // 5} <= met
+    assert not any(max(m, n) > 4 * min(m, n) for m, n in met)
+
+
+def test_line_sketches_mark_words_that_come_an_odd_number_of_times(spark):
+    for r in lines._sketched(spark.createDataFrame([(1, 5, [3, 70, 3, 511, 512]), (2, 4, [9, 9, 9, 9])], "key bigint, n int, codes array<int>")).collect():
+        assert [r[f"odd{k}"] % (1 << 64) for k in range(8)] == ([1, 1 << 6, 0, 0, 0, 0, 0, 1 << 63] if r.key == 1 else [0] * 8)
+
+
 def test_lines_leave_no_words_on_disk(spark, monkeypatch):
     made = {}
 
