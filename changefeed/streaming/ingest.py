@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from changefeed.operators import envelope
-from changefeed.operators.skew import broadcast_if_small
+from changefeed.operators.skew import BROADCAST_ROWS
 from changefeed.plans import pipeline
+from changefeed.session import discard, written
 from changefeed.sources import sinks
 from changefeed.sources.sinks import Sink
 from changefeed.streaming import ids, schemas
@@ -23,18 +25,43 @@ FLUSH_INTERVAL = "10 seconds"
 RuleLoader = Callable[[], DataFrame | None]
 
 
-def unseen(canonical: DataFrame, seen: str, batch_id: int) -> DataFrame:
+class Held(NamedTuple):
+    """What is left of a batch, and the tables of ids behind it (``session.written``), to be discarded when it is done."""
+
+    rows: DataFrame
+    ids: list[DataFrame]
+
+
+def unseen(canonical: DataFrame, seen: str, batch_id: int) -> Held:
     """The batch without copies of accepted events, in it or from earlier batches, whose ids are stored under ``seen`` (see ``streaming.ids``).
 
     No event time is involved, so a late event is never lost. Rejected records and tombstones stay. The ids of the batch itself,
     from a run that failed, are not looked at: a batch that runs again gives the same rows.
+
+    Ids are counted and looked up alone, and written, so that no plan grows by how they were made. Whole records are dealt out by id only where there are very many
+    copies and very many others as well: most batches hold either events that are new or events that came before.
     """
     sound = F.col("reject_reason").isNull()
-    once = canonical.where(sound).dropDuplicates(["event_id"])
-    if batch_id > 0:
-        known = ids.stored(once.select("event_id"), seen, batch_id)
-        once = once.join(broadcast_if_small(known), "event_id", "left_anti").select(*canonical.columns)
-    return once.unionByName(canonical.where(~sound))
+    accepted = canonical.where(sound)
+    own = accepted.groupBy("event_id").agg(F.count("*").alias("times"))
+    own = written(own, "batch-ids")
+    known = written(ids.stored(own.select("event_id"), seen, batch_id), "known-ids") if batch_id > 0 else None
+    counts = own.agg(F.count("*").alias("all"), F.count_if(F.col("times") > 1).alias("repeated")).first()
+    earlier = known.count() if known is not None else 0
+    if not earlier:
+        once = accepted
+    elif earlier <= BROADCAST_ROWS:
+        once = accepted.join(F.broadcast(known), "event_id", "left_anti")
+    elif counts["all"] - earlier <= BROADCAST_ROWS:
+        once = accepted.join(F.broadcast(own.select("event_id").join(known, "event_id", "left_anti")), "event_id", "left_semi")
+    else:
+        once = accepted.join(known, "event_id", "left_anti")
+    if counts["repeated"] > BROADCAST_ROWS:
+        once = once.dropDuplicates(["event_id"])
+    elif counts["repeated"]:
+        twice = F.broadcast(own.where("times > 1").select("event_id"))
+        once = once.join(twice, "event_id", "left_anti").unionByName(once.join(twice, "event_id", "left_semi").dropDuplicates(["event_id"]))
+    return Held(once.select(*canonical.columns).unionByName(canonical.where(~sound)), [own, *([known] if known is not None else [])])
 
 
 def capture_batch(
@@ -54,7 +81,8 @@ def capture_batch(
     replaces what it wrote before, and gives a sink the same messages in the same order.
     """
     source = canonical.persist()
-    held = (unseen(source, f"{out}/seen", batch_id) if dedupe else source).persist()
+    once = unseen(source, f"{out}/seen", batch_id) if dedupe else Held(source, [])
+    held = once.rows.persist()
     try:
         rule_table = load_rules() if load_rules else None
         outputs = pipeline.run(held, rule_table, **options)
@@ -75,6 +103,7 @@ def capture_batch(
             log.warning("positions of batch %s were not saved", batch_id, exc_info=True)
     finally:
         held.unpersist()
+        discard(*once.ids)
         source.unpersist()
 
 

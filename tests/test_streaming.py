@@ -10,7 +10,7 @@ from changefeed.plans import pipeline
 from changefeed.plans.capture import RULES_V1, RULES_V2, rule_table
 from changefeed.plans.feed import change_feed
 from changefeed.plans.streams import read_messages
-from changefeed.session import work_dir, written
+from changefeed.session import discard, work_dir, written
 from changefeed.sources import changelog, folders, sinks
 from changefeed.streaming import ids, ingest, schemas, transactions
 from tests.test_envelope import ROW, SOURCE, feed, record
@@ -81,6 +81,25 @@ def test_copies_are_published_once(spark, box):
     assert spark.read.parquet(f"{box['out']}/rejected").count() == 2
 
 
+@pytest.mark.parametrize("limit", [0, 2, 100_000])
+def test_copies_are_found_by_their_ids_alone(spark, box, monkeypatch, limit):
+    """Whatever is few or many: new events, copies of earlier ones, copies within a batch. Whole records are not dealt out for it where nothing came twice."""
+    monkeypatch.setattr(ingest, "BROADCAST_ROWS", limit)
+    got = []
+    for batch_id, numbers in enumerate([[1, 2, 3], [3, 2, 1], [2, 4, 4, 3, 5], [1, 6, 7, 8], [9, 9, 9, 10, 10, 11, 11]]):
+        rows = [*((record(), offset(n)) for n in numbers), ("{bad", offset(99))]
+        batch = spark.createDataFrame([(value, "{server=src}", place) for value, place in rows], changelog.FEED_SCHEMA)
+        held = ingest.unseen(envelope.to_canonical(batch), f"{box['out']}/seen", batch_id)
+        if batch_id == 0:
+            assert "hashpartitioning" not in held.rows._jdf.queryExecution().toString()
+        found = held.rows.select("position.log_key", "reject_reason").collect()
+        got.append(sorted(r.log_key for r in found if r.reject_reason is None))
+        assert [r.reject_reason for r in found if r.reject_reason] == ["MALFORMED"]
+        ids.store(envelope.accepted(held.rows).select("event_id"), f"{box['out']}/seen", batch_id)
+        discard(*held.ids)
+    assert got == [[1, 2, 3], [], [4, 5], [6, 7, 8], [9, 10, 11]]
+
+
 def test_nothing_is_lost_after_tombstones_and_far_dates(spark, box):
     """Tombstones, a date far in the future and an impossible one come before events with older dates: all of these are published."""
     add(spark, box, [record(ts_ms=4102444800000), record(ts_ms=9223372036854775807), None], [offset(1), offset(2), offset(3)])
